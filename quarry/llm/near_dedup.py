@@ -1,6 +1,6 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-1. A text's set is its distinct 2-word shingles (64-bit hashes); its signature has K coordinates. Texts with equal sets
+1. A text's set is its distinct word shingles (64-bit hashes); its signature has K coordinates. Texts with equal sets
    form a class; only the class's smallest id goes on.
 2. A class is posted under each (coordinate, value) pair. Pairs of one posting join nothing and drop out. Of the others
    only the rarest are needed: two classes with T equal coordinates share one of the K - T + 1 rarest of either
@@ -14,7 +14,7 @@
 With K = 32 and T = 15 a pair of similarity 0.8 is missed with probability 1e-5, one of 0.9 with less than 1e-9.
 
 Words are runs of characters outside [\\x20\\x09-\\x0D], A-Z lower-cased. Defined cases: a null or empty text has no set,
-n_shingles 0 and no links; one word is a set of that word; rows with the same id are one node that has the links of all
+n_shingles 0 and no links; with fewer words than a shingle the whole sequence is one; rows with the same id are one node that has the links of all
 of them; texts of any length are used whole; an empty table gives an empty result; other columns pass through.
 """
 
@@ -33,8 +33,8 @@ from quarry.llm.common import by_ids, stage
 from quarry.llm.components import components
 
 K, T = 32, 15
-#: Similarity of a link, in hundredths; words in a shingle.
-PERCENT, SHINGLE = 80, 2
+#: Similarity of a link, in hundredths; words in a shingle, where a caller names no other number.
+PERCENT, SHINGLE = 80, 5
 #: Members of a posting list that one task compares with each other at a time.
 BLOCK = 256
 
@@ -59,17 +59,17 @@ class _Words(dict):
         return value
 
 
-def shingle_set(text: bytes, words: _Words) -> np.ndarray:
+def shingle_set(text: bytes, words: _Words, shingle: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     ws = text.lower().split()  # of bytes: lower() changes A-Z alone, split() parts at [\x20\x09-\x0D]
     if not ws:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws))
-    if len(h) < SHINGLE:
-        return _mix(h[:1] + np.uint64(len(h)))
-    x = h[: len(h) - SHINGLE + 1].copy()
-    for i in range(1, SHINGLE):
-        x = _mix(x) + h[i : len(h) - SHINGLE + 1 + i]
+    k = min(shingle, len(h))
+    n = len(h) - k + 1
+    x = h[:n] + np.uint64(k)
+    for i in range(1, k):
+        x = _mix(x) + h[i : n + i]
     return np.unique(_mix(x))
 
 
@@ -82,25 +82,30 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (np.arange(K, dtype=np.int64) << 32) | (best >> np.uint64(32)).astype(np.int64)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
-    for batch in batches:
-        sizes, prints, tokens = [], [], []
-        for text in batch.column("text").cast(pa.binary()).to_pylist():
-            s = shingle_set(text or b"", words)
-            sizes.append(len(s))
-            prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            tokens.append(signature(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["id", "n", "print", "tokens"]
-        )
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
-    for batch in batches:
-        sets = [shingle_set(t or b"", words).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
+def _features(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            sizes, prints, tokens = [], [], []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                s = shingle_set(text or b"", words, shingle)
+                sizes.append(len(s))
+                prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                tokens.append(signature(s) if len(s) else None)
+            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "print", "tokens"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            sets = [shingle_set(t or b"", words, shingle).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
+
+    return run
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -143,9 +148,9 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["a", "b"])
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, shingle: int) -> DataFrame:
     """docs(id, text) -> (id, n, rep, tokens): rep is the smallest id with the same set; tokens for that one alone."""
-    feats = stage(docs.mapInArrow(_features, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, print binary, tokens array<bigint>"), "features")
+    feats = stage(docs.mapInArrow(_features(shingle), f"id {docs.schema['id'].dataType.simpleString()}, n bigint, print binary, tokens array<bigint>"), "features")
     reps = feats.where("n > 0").groupBy("print").agg(F.min("id").alias("rep"))
     rows = feats.select("id", "n", "print", "tokens").join(reps, "print", "left")
     return rows.select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("tokens")).alias("tokens"))
@@ -161,12 +166,12 @@ def postings(members: DataFrame) -> DataFrame:
     return joined.select("id", "n", tokens.alias("tokens"), F.slice(tokens, 1, F.size("t") - (T - 1)).alias("prefix"), F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["df"]).alias("shared"))
 
 
-def links(docs: DataFrame, members: DataFrame) -> DataFrame:
+def links(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
     """Confirmed links (a, b) between class representatives; enough of them to connect all that are connected."""
     found = stage(postings(members), "candidates")
     texts = by_ids(docs, "id", found.select("id"), "left_semi")
     kind = docs.schema["id"].dataType.simpleString()
-    sets = stage(texts.mapInArrow(_sets, f"id {kind}, hashes binary"), "sets")
+    sets = stage(texts.mapInArrow(_sets(shingle), f"id {kind}, hashes binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("left")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("right"))
@@ -189,17 +194,17 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
     return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    members = stage(classes(narrow), "classes")
-    found = components(links(narrow, members.where("tokens IS NOT NULL").select("id", "n", "tokens")))
+    members = stage(classes(narrow, shingle), "classes")
+    found = components(links(narrow, members.where("tokens IS NOT NULL").select("id", "n", "tokens"), shingle))
     out = members.select("id", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     comp = F.coalesce("component", "rep")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("id") == comp).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with all their columns."""
-    lost = stage(near_dedup(docs, id_col, text_col).where("NOT kept").select("doc_id"), "lost").withColumnRenamed("doc_id", id_col)
+    lost = stage(near_dedup(docs, id_col, text_col, shingle).where("NOT kept").select("doc_id"), "lost").withColumnRenamed("doc_id", id_col)
     return by_ids(docs, id_col, lost, "left_anti").select(*[f"`{c}`" for c in docs.columns])
