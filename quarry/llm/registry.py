@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
+from quarry.llm import chat_format, exact_dedup, license_scan, mixing, near_dedup, packing, quality_rules
 from quarry.llm.common import table
 
 
@@ -14,6 +14,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: A conversation whose texts hold control strings.
+ODD_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame(ODD_CONVERSATION, "conv_id bigint, turn bigint, role string, text string")
+    return chat_format.read_back(chat_format.format_turns(given.unionByName(odd)))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -31,7 +45,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op5_near_dedup, op8_best_fit_packing, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_license_scan, op4_chat_format, op5_near_dedup, op8_best_fit_packing, op9_quality_rules, op10_mixing)}
 
 
 OP1_SQL = r"""

@@ -65,6 +65,8 @@ class ByteBpe:
         to_byte = _byte_of_symbol()
         special = {t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(to_byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if i not in special}
+        #: Ids from here on are free.
+        self.size = max([*ranks.values(), *special]) + 1
         self._core = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._chunks = _Chunks(self._core)
         #: Spaces beside other white space: such a text is cut with more care.
@@ -85,7 +87,7 @@ class ByteBpe:
         return b"".join(map(self._chunks.__getitem__, parts))
 
     def decode(self, ids) -> str:
-        return self._core.decode_bytes(list(ids)).decode("utf-8", errors="surrogatepass")
+        return self._core.decode_bytes([int(i) for i in ids]).decode("utf-8", errors="surrogatepass")
 
 
 @lru_cache(maxsize=4)
