@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat_format, exact_dedup, license_scan, mixing, near_dedup, packing, quality_rules
+from quarry.llm import chat_format, exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, url_filter
 from quarry.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -32,6 +36,14 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("score")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"))
 
@@ -45,7 +57,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_license_scan, op4_chat_format, op5_near_dedup, op8_best_fit_packing, op9_quality_rules, op10_mixing)}
+    functions = (
+        op1_exact_dedup, op2_html_extract, op3_license_scan, op4_chat_format, op5_near_dedup,
+        op6_quality_classifier, op7_url_filter, op8_best_fit_packing, op9_quality_rules, op10_mixing,
+    )
+    return {f.__name__: f for f in functions}
 
 
 OP1_SQL = r"""
