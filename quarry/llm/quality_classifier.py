@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams, learned by follow-the-regularised-leader updates.
 
-Features of a text are its distinct word n-grams (one and two words) and the n-grams of its words' shapes, hashed into
-2**BITS slots; each counts 1 / sqrt(their number). Learning uses labelled rows that aren't held out, at most TRAIN_ROWS of
+Features of a text are its word n-grams (one and two words) and the n-grams of its words' shapes, hashed into 2**BITS
+slots; one that makes up a share s of a text's n-grams has the value sqrt(s), so every text has length one. Learning uses labelled rows that aren't held out, at most TRAIN_ROWS of
 them (those whose ids hash lowest; a fixed sample bound). Their features are made where the texts lie, and one task runs
 the updates over them in a fixed order. The weights, 2**BITS numbers, are the only thing sent to all tasks; a score is the
 sparse dot product of a text's slots with them.
@@ -28,9 +28,9 @@ from quarry.llm.common import stage
 
 BITS = 18
 TRAIN_ROWS = 8_000
-ROUNDS = 3
+ROUNDS = 8
 #: Rate, its smoothing, and the penalties of the leader.
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 1.0
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.002, 0.01
 #: A score of at least this is predicted as good.
 THRESHOLD = 0.3
 
@@ -51,14 +51,15 @@ class _Hashes(dict):
 _PAIR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def slots(text: str, hashes: _Hashes) -> np.ndarray:
-    """The distinct slots of a text's features."""
+def slots(text: str, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct slots of a text's features, and their values."""
     words = text.split()
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0)
     both = np.array([hashes[w] for w in words], np.uint64).T
     pairs = both[:, :-1] * _PAIR + both[:, 1:]
-    return np.unique((np.concatenate([both.ravel(), pairs.ravel()]) * _SPREAD) >> np.uint64(64 - BITS)).astype(np.int64)
+    at, times = np.unique((np.concatenate([both.ravel(), pairs.ravel()]) * _SPREAD) >> np.uint64(64 - BITS), return_counts=True)
+    return at.astype(np.int64), np.sqrt(times / times.sum())
 
 
 class FtrlProximal:
@@ -71,10 +72,8 @@ class FtrlProximal:
         z, n = self.z[at], self.n[at]
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    def update(self, at: np.ndarray, label: int) -> None:
-        at = np.append(at, 1 << BITS)  # the last slot is the bias
-        x = np.full(len(at), 1.0 / np.sqrt(max(1, len(at) - 1)))
-        x[-1] = 1.0
+    def update(self, at: np.ndarray, x: np.ndarray, label: int) -> None:
+        at, x = np.append(at, 1 << BITS), np.append(x, 1.0)  # the last slot is the bias
         w = self.weights(at)
         g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
         grown = self.n[at] + g * g
@@ -85,17 +84,17 @@ class FtrlProximal:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
-        rows = [slots(t or "", hashes).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "slots"])
+        rows = [slots(t or "", hashes) for t in batch.column("text").to_pylist()]
+        coded = [pa.array([x.astype(kind).tobytes() for x in xs], pa.binary()) for xs, kind in (([a for a, _ in rows], "<i4"), ([v for _, v in rows], "<f4"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *coded], names=["doc_id", "quality", "slots", "shares"])
 
 
 def _learn(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("doc_id", key=lambda ids: ids.map(lambda i: xxhash.xxh3_64_intdigest(str(i))), kind="stable")
     model = FtrlProximal()
-    examples = [(np.frombuffer(s, "<i4").astype(np.int64), int(q)) for s, q in zip(rows["slots"], rows["quality"], strict=True)]
     for _ in range(ROUNDS):
-        for at, label in examples:
-            model.update(at, label)
+        for at, x, label in zip(rows["slots"], rows["shares"], rows["quality"], strict=True):
+            model.update(np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(np.float64), int(label))
     return pd.DataFrame({"weights": [model.weights().astype("<f4").tobytes()]})
 
 
@@ -110,8 +109,8 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     sample = stage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "sample")
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # TRAIN_ROWS rows at most
     kind = texts.schema["doc_id"].dataType.simpleString()
-    coded = texts.select("doc_id", "quality", "text").mapInArrow(_features, f"doc_id {kind}, quality int, slots binary")
-    found = coded.groupBy(F.lit(0)).applyInPandas(_learn, "weights binary").collect()
+    coded = texts.select("doc_id", "quality", "text").mapInArrow(_features, f"doc_id {kind}, quality int, slots binary, shares binary")
+    found = coded.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(_learn, "weights binary").collect()
     return np.frombuffer(found[0]["weights"], "<f4") if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
@@ -121,8 +120,8 @@ def _score(model):
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                at = slots(text or "", hashes)
-                out.append(float(w[-1]) + float(w[at].sum(dtype=np.float64)) / np.sqrt(max(1, len(at))))
+                at, x = slots(text or "", hashes)
+                out.append(float(w[-1]) + float(w[at] @ x))
             p = 1.0 / (1.0 + np.exp(-np.clip(np.array(out, np.float64), -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
