@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A set of ids is broadcast only after it was counted and found to hold at most this many longs (16 MB).
@@ -26,6 +27,10 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, lost executors lose nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
+    # Spark deletes the shuffle files of plans nothing refers to any more when the driver collects garbage, which it may
+    # not do for hours; a job of many stages would keep them all.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +52,12 @@ def by_ids(df: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, how)
 
 
+def with_rows(df: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """Inner join of wide rows with a narrow written table, which is counted first and broadcast as in by_ids."""
+    few = rows.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4
+    return df.join(F.broadcast(rows) if few else rows, key)
+
+
 def global_rank(df: DataFrame, key: str, order: Column, tag: str) -> DataFrame:
     """Adds `rank` (from 0, gapless within each value of key) without a window over a key.
 
@@ -61,14 +72,8 @@ def global_rank(df: DataFrame, key: str, order: Column, tag: str) -> DataFrame:
         tag,
     )
     runs = laid.groupBy(F.col(key).alias("_k"), F.shiftright("_at", 33).alias("_p")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = runs.select(F.col("_k").alias("_k2"), F.col("_p").alias("_p2"), F.col("_n").alias("_n2"))
-    runs = stage(runs, f"{tag}-runs")
-    before = runs.select(F.col("_k").alias("_k2"), F.col("_p").alias("_p2"), F.col("_n").alias("_n2"))
-    offsets = (
-        runs.join(before, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_p2") < F.col("_p")), "left")
-        .groupBy("_k", "_p", "_first")
-        .agg(F.coalesce(F.sum("_n2"), F.lit(0)).alias("_before"))
-    )
+    earlier = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a key has a run a partition at most
+    offsets = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     laid = laid.withColumn("_p", F.shiftright("_at", 33))
     joined = laid.join(offsets.withColumnRenamed("_p", "_q"), laid[key].eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("_q")))
     return joined.withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_p", "_q", "_k", "_first", "_before")
