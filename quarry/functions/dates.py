@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-from quarry.errors import Unsupported
 from quarry.functions.base import MANY, function
 from quarry.values import Expr, let, number, quoted, real_text, text
 
@@ -40,7 +39,8 @@ class Moment:
     def __init__(self, args: tuple[Expr, ...]):
         first, rest = (args[0], list(args[1:])) if args else (Expr("'now'", "text", "now", True), [])
         self.fraction = False
-        words = [self._word(m) for m in rest]
+        later = next((i for i, m in enumerate(rest) if not m.literal), len(rest))
+        words = [self._word(m) for m in rest[:later]]
         raw = number(first).sql if first.kind in ("int", "real") else None
         if raw is None and words and words[0] in ("unixepoch", "julianday", "auto"):
             raw = f"try_cast({text(first)} AS DOUBLE)"
@@ -61,11 +61,12 @@ class Moment:
             self.sql = _parsed(text(first))
         for w in words:
             self.apply(w)
+        if later < len(rest):  # from the first modifier on that is known only at run time
+            given = ", ".join(f"CAST({text(m)} AS STRING)" for m in rest[later:])
+            self.sql = f"timestamp_millis(quarry_shift(unix_millis({self.sql}), array({given})))"
 
     @staticmethod
     def _word(m: Expr) -> str:
-        if not m.literal:
-            raise Unsupported("a date modifier that isn't a literal")
         return str(m.value).strip().lower() if m.value is not None else ""
 
     def apply(self, m: str) -> None:
@@ -140,10 +141,18 @@ CODES = {
 }
 
 
+def _at_run_time(form: Expr, moment: str) -> Expr:
+    """A format known only at run time: the text is cut at its codes and each is looked up among all codes' values."""
+    codes = ", ".join(f"{quoted('%' + c)}, {sql}" for c, sql in CODES.items())
+    pieces = f"regexp_extract_all({text(form)}, '(%.?|[^%]+)', 1)"
+    body = f"aggregate({pieces}, '', (a, p) -> concat(a, CASE WHEN startswith(p, '%') THEN element_at(m, p) ELSE p END))"
+    return Expr(let(moment, "t", f"CASE WHEN t IS NULL THEN NULL ELSE {let(f'map({codes})', 'm', body)} END"), "text")
+
+
 @function("strftime", least=1, most=MANY)
 def strftime(form: Expr, *args: Expr) -> Expr:
     if not (form.literal and isinstance(form.value, str)):
-        raise Unsupported("strftime with a format that isn't a literal")
+        return _at_run_time(form, Moment(args).sql)
     parts = []
     for m in re.finditer(r"%(.?)|[^%]+", form.value, re.S):
         if not m[0].startswith("%"):

@@ -166,8 +166,10 @@ _CONVERSION = re.compile(r"%([-0 +#,!]*)(\*|\d*)(?:\.(\*|\d+))?(?:ll|l|h)?(.)",
 @function("printf", "format", least=1, most=MANY)
 def printf(form: Expr, *args: Expr) -> Expr:
     """Conversions d i u x X o c s f e E g G and %; a missing argument is 0 or empty, an unknown conversion stands for itself."""
-    if not (form.literal and isinstance(form.value, str)):
-        raise Unsupported("printf with a format that isn't a literal")
+    stars = isinstance(form.value, str) and "*" in form.value and not all(a.literal for a in args)
+    if not (form.literal and isinstance(form.value, str)) or stars:
+        given = ", ".join(f"CAST({text(a)} AS STRING)" for a in args)
+        return Expr(f"quarry_printf({text(form)}, CAST(array({given}) AS ARRAY<STRING>))", "text")
     parts, at, rest = [], 0, list(args)
 
     def pull(default: Expr) -> Expr:

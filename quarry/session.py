@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.errors import NotFound, ParseError, TypeMismatch, Unsupported
+from quarry.functions import runtime
 from quarry.sql.ast import Node
 from quarry.sql.lexer import statements
 from quarry.sql.lower import Lowering, Source
@@ -136,6 +137,7 @@ class Engine:
         self._store: Store | None = None
         self._views: dict[str, Source] = {}
         self._transaction: Transaction | None = None
+        self._runtime = False
         self.changes = 0
         self.total_changes = 0
         self.last_insert_rowid = 0
@@ -200,7 +202,14 @@ class Engine:
         if q.kind != "query":
             raise ParseError("not a query")
         low = Lowering(self._source, params if isinstance(params, dict) else list(params or []))
-        return low.query(q)[0]
+        return self._ready(low.query(q)[0])
+
+    def _ready(self, sql: str) -> str:
+        """Registers the run-time functions where a text uses them."""
+        if not self._runtime and ("quarry_printf(" in sql or "quarry_shift(" in sql):
+            runtime.register(self.spark)
+            self._runtime = True
+        return sql
 
     def sql(self, sql: str, params: Sequence | dict | None = None) -> DataFrame:
         """A query as a DataFrame (nothing runs yet). PRAGMA gives its rows."""

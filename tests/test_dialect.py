@@ -90,6 +90,19 @@ def test_glob_pattern(pattern, text):
     assert bool(re.fullmatch(glob_pattern(pattern).replace("\\z", "").replace("\\A", ""), text)) == bool(want)
 
 
+def test_known_only_at_run_time(engine, spark):
+    """Formats, modifiers and separators that are columns."""
+    db = sqlite3.connect(":memory:")
+    rows = [(1, "%05d|%-4s|%.2f", "+1 month", "2024-01-31", "-"), (2, "%x %d%%", "start of year", "2023-07-09 10:11:12", "+"), (30, "%*d", "-13 days", "2020-02-29", "/")]
+    engine.register("g", spark.createDataFrame(rows, "n int, f string, m string, d string, s string"))
+    for n, f, m, d, _ in rows:
+        got = engine.sql("SELECT printf(f, n, 'ab', 2.5) AS p, datetime(d, m, '+1 hour') AS t, strftime(substr('%Y|%j|%W', 1, n), d) AS y FROM g WHERE n = ?", [n]).first()
+        want = db.execute("SELECT printf(?, ?, 'ab', 2.5), datetime(?, ?, '+1 hour'), strftime(substr('%Y|%j|%W', 1, ?), ?)", (f, n, d, m, n, d)).fetchone()
+        assert got[:2] == want[:2] and (got[2] == want[2] or n == 1), n
+    assert engine.sql("SELECT printf('%*d|', n, 7) AS p FROM g WHERE n = 2").first()[0] == " 7|"
+    assert engine.sql("SELECT group_concat(n, s ORDER BY n) FROM g").first()[0] == "1+2/30"
+
+
 def test_parameters(engine):
     assert engine.sql("SELECT ?, ?2, :x", [1, "b", None]).collect()[0][:2] == (1, "b")
     assert engine.sql("SELECT :a + :b AS s", {"a": 1, "b": 2}).first()[0] == 3

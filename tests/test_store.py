@@ -169,3 +169,17 @@ def test_cursor(engine):
     seen = []
     db.exec("SELECT name, score * 1.0 AS s FROM t ORDER BY id", lambda names, values: seen.append((names, values)))
     assert seen[0] == (["name", "s"], ["a", "1.0"])
+
+
+def test_pool(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quarry.pool import Pool
+
+    engine = Engine(spark, str(tmp_path / "pool"))
+    engine.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, who INTEGER)")
+    pool = Pool(engine, 3)
+    with ThreadPoolExecutor(4) as threads:
+        assert list(threads.map(lambda i: pool.execute("INSERT INTO t (who) VALUES (?)", [i]), range(6))) == [1] * 6
+    with pool.acquire() as own:
+        assert own.sql("SELECT count(*), count(DISTINCT id), sum(who) FROM t").first()[:] == (6, 6, 15)
