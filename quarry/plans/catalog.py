@@ -102,6 +102,7 @@ _add("max_agg", "SELECT c_mktsegment, max(c_acctbal) AS hi, max(c_name) AS last
 _add("group_concat", "SELECT n_regionkey, group_concat(n_name ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 _add("group_concat_sep", "SELECT n_regionkey, group_concat(n_name, ' | ' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, string_agg(n_name, ' | ' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
 _add("group_concat_distinct", "SELECT o_orderstatus, group_concat(DISTINCT o_orderpriority) AS p FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS p FROM orders GROUP BY o_orderstatus")
+_add("group_concat_column", "SELECT n_regionkey, group_concat(n_name, '<' || n_nationkey || '>' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, regexp_replace(string_agg('<' || n_nationkey || '>' || n_name, '' ORDER BY n_nationkey), '^<[0-9]+>', '') AS names FROM nation GROUP BY n_regionkey")
 _add("bare_column", "SELECT n_regionkey, n_name FROM (SELECT * FROM nation) AS n GROUP BY n_regionkey", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, min(n_name) AS n_name FROM nation GROUP BY n_regionkey")
 _add("agg_filter", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS big, sum(l_linenumber) FILTER (WHERE l_discount > 0.05) AS s FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS big, CAST(sum(l_linenumber) FILTER (WHERE l_discount > 0.05) AS BIGINT) AS s FROM lineitem GROUP BY l_returnflag")
 
@@ -176,6 +177,10 @@ _add("fn_pi", "SELECT round(pi(), 9) AS p", "SELECT round(pi(), 9) AS p")
 _add("fn_pow", "SELECT n_nationkey, pow(n_nationkey, 2) AS p, power(2, n_regionkey) AS q FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, pow(n_nationkey, 2) AS p, pow(2, n_regionkey) AS q FROM nation")
 _add("fn_mod", "SELECT c_custkey, mod(c_custkey, 7) AS m, mod(c_custkey, 0) AS z FROM customer", "SELECT c_custkey, CAST(c_custkey % 7 AS DOUBLE) AS m, CAST(NULL AS DOUBLE) AS z FROM customer")
 
+_add("fn_random", "SELECT count(*) = count(DISTINCT r) AS fresh, max(typeof(r)) AS kind FROM (SELECT random() AS r FROM orders) AS t", "SELECT true AS fresh, 'integer' AS kind")
+_add("fn_randomblob", "SELECT n_nationkey, length(randomblob(n_nationkey + 1)) AS n FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_nationkey + 1 AS BIGINT) AS n FROM nation")
+_add("fn_printf_column", "SELECT n_nationkey, printf('%0' || (n_regionkey + 2) || 'd', n_nationkey) AS p FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, lpad(CAST(n_nationkey AS VARCHAR), CAST(n_regionkey + 2 AS INT), '0') AS p FROM nation")
+
 # -- nulls and types --------------------------------------------------------------------------------------------------
 _add("fn_coalesce", "SELECT d.doc_id, coalesce(l.quality, l.toxic, -1) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id", "SELECT d.doc_id, CAST(coalesce(l.quality, l.toxic, -1) AS BIGINT) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 _add("fn_ifnull", "SELECT d.doc_id, ifnull(l.quality, 9) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id", "SELECT d.doc_id, CAST(ifnull(l.quality, 9) AS BIGINT) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -204,6 +209,9 @@ _add("dt_from_julian", "SELECT n_nationkey, datetime(2451545 + n_nationkey) AS t
 _add("dt_offset_hhmm", f"SELECT o_orderkey, datetime(o_orderdate, '+02:30', 'utc') AS t {_T}", f"SELECT o_orderkey, strftime(o_orderdate + INTERVAL 150 MINUTE, '%Y-%m-%d %H:%M:%S') AS t {_T}")
 _add("dt_subsec", "SELECT event_id, strftime('%f', ts) AS f FROM events", "SELECT event_id, strftime(ts, '%S.%g') AS f FROM events")
 
+_add("dt_modifier_column", f"SELECT o_orderkey, date(o_orderdate, '+' || (o_orderkey % 50) || ' days') AS d {_T}", f"SELECT o_orderkey, strftime(o_orderdate + to_days(CAST(o_orderkey % 50 AS INT)), '%Y-%m-%d') AS d {_T}")
+_add("dt_now", "SELECT date('now') >= '2024-01-01' AS a, length(datetime()) AS n, length(CURRENT_TIMESTAMP) AS c", "SELECT true AS a, CAST(19 AS BIGINT) AS n, CAST(19 AS BIGINT) AS c")
+
 # -- heavier queries for the bench ------------------------------------------------------------------------------------
 _add("bench_pricing", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice), 2) AS base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge, count(*) AS n FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY l_returnflag, l_linestatus")
 _add("bench_top_orders", "SELECT o_orderkey, o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < '1995-03-15' GROUP BY o_orderkey, o_orderdate ORDER BY revenue DESC, o_orderkey LIMIT 10", None)

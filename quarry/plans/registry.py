@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.plans.catalog import PARAMETERS, Q
+from quarry.plans.extra import EXTRA, EXTRA_SQL
 from quarry.plans.written import WRITTEN, WRITTEN_SQL
 from quarry.session import Engine
 
@@ -26,8 +27,8 @@ def run_text(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: partial(run_text, k) for k in Q} | WRITTEN
+    return {k: partial(run_text, k) for k in Q} | WRITTEN | EXTRA
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: duck or sql for k, (sql, duck) in Q.items()} | WRITTEN_SQL
+    return {k: duck or sql for k, (sql, duck) in Q.items()} | WRITTEN_SQL | EXTRA_SQL

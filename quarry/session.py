@@ -7,6 +7,7 @@ import re
 import tempfile
 import types
 import typing
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 from typing import Any
@@ -132,8 +133,10 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self._private = tempfile.TemporaryDirectory(prefix="quarry-") if path is None else None
-        self._path = path or self._private.name
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        self._private = path is None
+        self._local = tempfile.TemporaryDirectory(prefix="quarry-") if path is None and not shared else None
+        self._path = path or (self._local.name if self._local else f"{shared.rstrip('/')}/quarry-private-{uuid.uuid4().hex}")
         self._store: Store | None = None
         self._views: dict[str, Source] = {}
         self._transaction: Transaction | None = None
@@ -172,7 +175,7 @@ class Engine:
         return self
 
     def _source(self, table: str) -> Source:
-        current = self._transaction or (self.store.snapshot() if self._store or Path(self._path).exists() or self._private is None else None)
+        current = self._transaction or (self.store.snapshot() if self._store or not self._private else None)
         if table.lower() in ("sqlite_master", "sqlite_schema") and current is not None:
             df = current.master()
             return Source(_view(df), [(f.name, kind_of(f.dataType)) for f in df.schema])
@@ -355,8 +358,10 @@ class Engine:
     def close(self) -> None:
         if self._transaction is not None:
             self._transact("rollback")
-        if self._private is not None:
-            self._private.cleanup()
+        if self._local is not None:
+            self._local.cleanup()
+        elif self._private and self._store is not None:
+            self._store.files.delete("")
 
     def __enter__(self) -> Engine:
         return self

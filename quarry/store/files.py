@@ -16,7 +16,7 @@ class Files:
         self.root = root.rstrip("/")
 
     def full(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{name}" if name else self.root
 
     def names(self, folder: str = "") -> list[str]:
         p = self._path(self.full(folder))
