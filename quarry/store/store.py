@@ -277,7 +277,6 @@ class Transaction(Snapshot):
                 raise SchemaError(f"{len(named)} values are needed for {table.name}")
             raw, given = self._rows(n.rows, named, low)
         new = raw.select("_seq", *[(given[c.name] if c.name in given else _default(c)).cast(SPARK_TYPE[c.kind]).alias(c.name) for c in table.columns])
-        new = new.orderBy("_seq") if n.query is not None else new
         return self._append(table, new, n.replace)
 
     def _rows(self, rows: list[list[Node]], named: list[Column], low: Lowering):
@@ -295,15 +294,20 @@ class Transaction(Snapshot):
         path = self._new_path()
         draft = f"{path}-draft"
         last = table.last_rowid
-        # Rows are numbered in the order given: a window over narrow sequence numbers, which a bulk load pays once.
-        numbered = new.withColumn("_n", F.row_number().over(Window.orderBy("_seq")))
-        rowid = F.coalesce(F.col(name(alias)), F.lit(last) + F.col("_n")) if alias else F.lit(last) + F.col("_n")
-        placed = numbered.withColumn(ROWID, rowid.cast("bigint"))
-        if alias:
-            placed = placed.withColumn(alias, F.col(ROWID))
-        placed.drop("_n").write.parquet(self.store.files.full(draft))
         self._written.append(draft)
-        written = spark.read.schema(placed.drop("_n").schema).parquet(self.store.files.full(draft))
+        new.write.parquet(self.store.files.full(draft))
+        written = spark.read.schema(new.schema).parquet(self.store.files.full(draft))
+        # _seq is a partition's number and a row's place in it, so rows are numbered by their partition's offset: one count
+        # for each partition of the load, and no sort.
+        runs, before = [], last
+        for r in written.groupBy(F.shiftright("_seq", 33).alias("p")).agg(F.count("*").alias("n"), F.min("_seq").alias("first")).orderBy("p").collect():
+            runs.append((r["p"], r["first"], before))
+            before += r["n"]
+        offsets = F.broadcast(spark.createDataFrame(runs, "_p bigint, _first bigint, _before bigint"))
+        numbered = written.join(offsets, F.shiftright("_seq", 33) == F.col("_p")).withColumn("_next", F.col("_before") + F.col("_seq") - F.col("_first") + 1)
+        written = numbered.withColumn(ROWID, F.coalesce(F.col(name(alias)), F.col("_next")) if alias else F.col("_next")).drop("_p", "_first", "_before", "_next")
+        if alias:
+            written = written.withColumn(alias, F.col(ROWID))
         self._check_nulls(table, written)
         old = self.read(table.name)
         if replace:
