@@ -122,6 +122,24 @@ def test_order_and_distinct(engine, spark):
     assert rows("SELECT a FROM t LIMIT -1 OFFSET 3")[0:] and len(rows("SELECT a FROM t LIMIT -1")) == 4
 
 
+def test_not_in_subquery(engine, spark):
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE a (x INTEGER)")
+    db.execute("CREATE TABLE b (y INTEGER)")
+    db.executemany("INSERT INTO a VALUES (?)", [(1,), (2,), (3,), (None,)])
+    db.executemany("INSERT INTO b VALUES (?)", [(2,), (9,), (None,)])
+    engine.register("a", spark.createDataFrame(db.execute("SELECT x FROM a").fetchall(), "x int")).register("b", spark.createDataFrame(db.execute("SELECT y FROM b").fetchall(), "y int"))
+    for cond in ("x NOT IN (SELECT y FROM b)", "x NOT IN (SELECT y FROM b WHERE y IS NOT NULL)", "x NOT IN (SELECT y FROM b WHERE y > 100)", "x > 1 AND x NOT IN (SELECT y FROM b WHERE y > 0) AND x < 9", "NOT x IN (SELECT y FROM b WHERE y > 0)", "x IN (SELECT y FROM b) OR x = 1"):
+        q = f"SELECT x FROM a WHERE {cond} ORDER BY x"
+        assert [tuple(r) for r in engine.sql(q).collect()] == db.execute(q).fetchall(), cond
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = engine.sql("SELECT x FROM a WHERE x NOT IN (SELECT y FROM b WHERE y > 0)")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftAnti" in plan and "NestedLoop" not in plan and "SortMergeJoin" in plan
+
+
 def test_errors(engine, spark):
     engine.register("t", spark.createDataFrame([(1,)], "a int")).register("u", spark.createDataFrame([(1,)], "a int"))
     for sql, kind in (
