@@ -8,14 +8,16 @@
 3. Each posting list elects the member whose coordinates are shared most. All members are compared with it alone; the
    confirmed links are contracted to components. This settles a group of copies in linear work.
 4. Lists whose members are still in several components are merged in blocks: collisions of two members of different
-   components are counted over all coordinates, and pairs below T, of one component, or of unlike sizes are skipped.
+   components are counted over all coordinates, and pairs below T, of one component, or of unlike sizes are skipped. So
+   are pairs that a finer sketch (one-permutation hashing, BINS bytes) puts five deviations below the similarity asked
+   for, and pairs that meet in an earlier list. What is left is nearly all linked, however large a group is.
 5. Every pair is confirmed on the full shingle sets: 100 * intersection >= 80 * union.
 
 With K = 32 and T = 15 a pair of similarity 0.8 is missed with probability 1e-5, one of 0.9 with less than 1e-9.
 
 Words are runs of characters outside [\\x20\\x09-\\x0D], A-Z lower-cased. Defined cases: a null or empty text has no set,
 n_shingles 0 and no links; with fewer words than a shingle the whole sequence is one; rows with the same id are one node that has the links of all
-of them; texts of any length are used whole; an empty table gives an empty result; other columns pass through.
+of them; ids are whole numbers, and a row without one belongs to the class of its text but links nothing itself; texts of any length are used whole; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -23,20 +25,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import by_ids, stage
+from quarry.llm.common import by_ids, shuffle_partitions, stage, with_rows
 from quarry.llm.components import components
 
 K, T = 32, 15
 #: Similarity of a link, in hundredths; words in a shingle, where a caller names no other number.
 PERCENT, SHINGLE = 80, 5
 #: Members of a posting list that one task compares with each other at a time.
-BLOCK = 256
+BLOCK = 2_048
+#: Bins of the sketch, a byte each; its slack is SLACK standard deviations of its estimate, so no link is lost to it.
+BINS, SLACK = 512, 5.0
+#: Members of a head that one task confirms at a time.
+GROUP = 2_000
 
 _MUL = np.random.default_rng(20240501).integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(20240502).integers(1, 1 << 63, K, dtype=np.uint64)
@@ -82,28 +87,29 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (np.arange(K, dtype=np.int64) << 32) | (best >> np.uint64(32)).astype(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One byte a bin: of the smallest hash in it, or 0 for an empty bin."""
+    v = np.sort(_mix(hashes ^ _ADD[0]))
+    bins = (v >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out = np.zeros(BINS, np.uint8)
+    out[bins[first]] = (1 + (v[first] >> np.uint64(8)) % np.uint64(255)).astype(np.uint8)
+    return out
+
+
 def _features(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            sizes, prints, tokens = [], [], []
+            sizes, prints, tokens, sketches = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 s = shingle_set(text or b"", words, shingle)
                 sizes.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 tokens.append(signature(s) if len(s) else None)
-            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "print", "tokens"])
-
-    return run
-
-
-def _sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            sets = [shingle_set(t or b"", words, shingle).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
+                sketches.append(sketch(s).tobytes() if len(s) else None)
+            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "print", "tokens", "sketch"])
 
     return run
 
@@ -119,41 +125,108 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
-        keep = pa.array([alike(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
-        out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
-        yield out.filter(keep)
-
-
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """One pair of blocks of a posting list: pairs of members of different components that collide T times at least."""
-    ids, comp, size = (rows[c].to_numpy() for c in ("id", "comp", "n"))
-    side = rows["side"].to_numpy()
-    grid = np.full((len(rows), K), -1, np.int64)
-    for i, t in enumerate(rows["tokens"]):
-        t = np.asarray(t, np.int64)
-        grid[i, t >> 32] = t
-    low, high = rows["i"].iloc[0], rows["j"].iloc[0]
-    xs, ys = np.flatnonzero(side == low), np.flatnonzero(side == high)
-    pairs = []
-    for x in xs:
-        near = ys[(comp[ys] != comp[x]) & (100 * np.minimum(size[ys], size[x]) >= PERCENT * np.maximum(size[ys], size[x]))]
-        if low == high:
-            near = near[ids[near] > ids[x]]
-        if len(near):
-            near = near[((grid[near] == grid[x]) & (grid[x] >= 0)).sum(axis=1) >= T]
-            pairs += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in near]
-    return pd.DataFrame(pairs, columns=["a", "b"])
+def _confirm(shingle: int):
+    """Rows sorted by (head, salt, member): a head's text comes first and the texts to compare with it follow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, head, salt, first = _Words(), None, None, np.zeros(0, np.uint64)
+        for batch in batches:
+            columns = [batch.column(c) for c in ("head", "salt", "id", "member")]
+            keep = []
+            rows = zip(*(c.to_pylist() for c in columns[:2]), columns[3].to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
+            for h, s, member, text in rows:
+                own = shingle_set(text or b"", words, shingle)
+                if not member and (h, s) != (head, salt):
+                    head, salt, first = h, s, own
+                keep.append(member and (h, s) == (head, salt) and alike(first, own))
+            out = pa.RecordBatch.from_arrays([columns[0], columns[2]], names=["a", "b"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+class _Merge:
+    """Pairs of a posting list's blocks i and j: members of different components that may be alike (step 4)."""
+
+    def __init__(self, rows: pa.Table, token: int, i: int, j: int):
+        self.ids, self.comp, self.n, self.side = (rows.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
+        self.all, self.prefix = (self._grid(rows.column(c)) for c in ("tokens", "prefix"))
+        self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(self.ids), BINS)
+        self.coordinate, self.i, self.j = token >> 32, i, j
+
+    @staticmethod
+    def _grid(lists: pa.ChunkedArray) -> np.ndarray:
+        """A byte for each coordinate of each row, 0 where the row doesn't have it."""
+        flat = lists.combine_chunks()
+        tokens = flat.flatten().to_numpy()
+        rows = np.repeat(np.arange(len(flat)), np.diff(flat.offsets.to_numpy()))
+        out = np.zeros((len(flat), K), np.uint8)
+        out[rows, tokens >> 32] = 1 + (_mix(tokens.astype(np.uint64)) % np.uint64(255)).astype(np.uint8)
+        return out
+
+    def pairs(self) -> Iterator[tuple]:
+        xs, ys = np.flatnonzero(self.side == self.i), np.flatnonzero(self.side == self.j)
+        for x in xs:
+            near = ys[(self.comp[ys] != self.comp[x]) & (100 * np.minimum(self.n[ys], self.n[x]) >= PERCENT * np.maximum(self.n[ys], self.n[x]))]
+            if self.i == self.j:
+                near = near[self.ids[near] > self.ids[x]]
+            # Of the lists in which a pair meets, that of the lowest coordinate has it.
+            near = near[((self.prefix[near] == self.prefix[x]) & (self.prefix[x] > 0)).argmax(axis=1) == self.coordinate]
+            near = near[((self.all[near] == self.all[x]) & (self.all[x] > 0)).sum(axis=1) >= T]
+            near = near[self._close(x, near)]
+            for y in near:
+                yield min(self.ids[x], self.ids[y]), max(self.ids[x], self.ids[y])
+
+    def _close(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Whether the sketches allow a similarity of PERCENT. Bins sample the union without replacement."""
+        mine, theirs = self.sketch[x], self.sketch[ys]
+        filled = ((mine | theirs) > 0).sum(axis=1)
+        equal = ((mine == theirs) & (mine > 0)).sum(axis=1)
+        s = PERCENT / 100
+        union = (self.n[x] + self.n[ys]) / (1 + s)
+        deviation = np.sqrt(s * (1 - s) / filled * np.maximum(1 - filled / union, 0.02))
+        return equal / filled >= s - SLACK * deviation - 0.01
+
+
+def _merged(kind: pa.DataType):
+    """Streams over rows sorted by (token, i, j); one list's two blocks are in memory at a time."""
+
+    def flush(held: list[pa.RecordBatch], key: tuple, out: list) -> None:
+        out += _Merge(pa.Table.from_batches(held), *key).pairs()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            out: list[tuple] = []
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                own = tuple(int(k) for k in keys[a])
+                if own != key and held:
+                    flush(held, key, out)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                key = own
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*out, strict=True)], names=["a", "b"])
+        out = []
+        if held:
+            flush(held, key, out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
 
 
 def classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs(id, text) -> (id, n, rep, tokens): rep is the smallest id with the same set; tokens for that one alone."""
-    feats = stage(docs.mapInArrow(_features(shingle), f"id {docs.schema['id'].dataType.simpleString()}, n bigint, print binary, tokens array<bigint>"), "features")
+    """docs(id, text) -> (id, n, rep, tokens, sketch): rep is the smallest id with the same set; tokens and sketch for that one alone."""
+    feats = stage(docs.mapInArrow(_features(shingle), f"id {docs.schema['id'].dataType.simpleString()}, n bigint, print binary, tokens array<bigint>, sketch binary"), "features")
     reps = feats.where("n > 0").groupBy("print").agg(F.min("id").alias("rep"))
-    rows = feats.select("id", "n", "print", "tokens").join(reps, "print", "left")
-    return rows.select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("tokens")).alias("tokens"))
+    rows = feats.join(reps, "print", "left")
+    own = [F.when(F.col("id") == F.col("rep"), F.col(c)).alias(c) for c in ("tokens", "sketch")]
+    return rows.select("id", "n", F.coalesce("rep", "id").alias("rep"), *own)
 
 
 def postings(members: DataFrame) -> DataFrame:
@@ -166,31 +239,47 @@ def postings(members: DataFrame) -> DataFrame:
     return joined.select("id", "n", tokens.alias("tokens"), F.slice(tokens, 1, F.size("t") - (T - 1)).alias("prefix"), F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["df"]).alias("shared"))
 
 
+def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike. Each text moves once for each head it is compared with.
+
+    Pairs are grouped by a, their head. A head with many members is salted: its text goes to as many groups as bound the
+    members of one by GROUP, and a task streams over sorted rows with one head's set in memory.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
+    salted = pairs.join(heads, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    work = salted.select(F.col("b").alias("id"), F.col("a").alias("head"), "salt", F.lit(True).alias("member")).unionByName(
+        heads.select(F.col("a").alias("id"), F.col("a").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    )
+    work = stage(work, "work")
+    joined = with_rows(docs, "id", work).repartition("head", "salt").sortWithinPartitions("head", "salt", "member")
+    return joined.select("head", "salt", "id", "member", "text").mapInArrow(_confirm(shingle), f"a {kind}, b {kind}")
+
+
 def links(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
     """Confirmed links (a, b) between class representatives; enough of them to connect all that are connected."""
     found = stage(postings(members), "candidates")
-    texts = by_ids(docs, "id", found.select("id"), "left_semi")
     kind = docs.schema["id"].dataType.simpleString()
-    sets = stage(texts.mapInArrow(_sets(shingle), f"id {kind}, hashes binary"), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("left")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("right"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_confirm, f"a {kind}, b {kind}")
 
-    posted = found.select("id", "n", "shared", F.explode("prefix").alias("token"))
+    posted = found.select("id", "shared", F.explode("prefix").alias("token"))
     heads = posted.groupBy("token").agg(F.max(F.struct("shared", F.bitwise_not("id").alias("i"))).alias("head")).select("token", F.bitwise_not("head.i").alias("head"))
-    stars = posted.join(heads, "token").where("id != head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    first = stage(confirmed(stars), "links")
+    stars = posted.join(heads, "token").where("id != head").select("id", "head").distinct()
+    one, other = found.select("id", "n", "tokens"), found.select(F.col("id").alias("head"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"))
+    sized = 100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")
+    stars = stars.join(one, "id").join(other, "head").where(sized & (F.size(F.array_intersect("tokens", "tokens2")) >= T))
+    first = stage(confirmed(docs, stars.select(F.col("head").alias("a"), F.col("id").alias("b")), shingle), "links")
     comps = stage(components(first), "contracted")
 
     labelled = found.join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "tokens", "prefix", F.coalesce("component", "id").alias("comp"))
-    spread = labelled.select("id", "n", "comp", "tokens", F.explode("prefix").alias("token"))
+    spread = labelled.select("id", "comp", F.explode("prefix").alias("token"))
     open_lists = spread.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
-    work = spread.join(open_lists, "token").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("id", "n", "comp", "tokens", "token", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    pairs = work.groupBy("token", "i", "j").applyInPandas(_merge, f"a {kind}, b {kind}").distinct()
-    second = stage(confirmed(stage(pairs, "pairs")), "links")
+    work = spread.select("id", "token").join(open_lists, "token").join(labelled.join(members.select("id", "sketch"), "id"), "id")
+    work = work.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = work.select("id", "n", "comp", "tokens", "prefix", "sketch", "token", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    laid = work.repartition(shuffle_partitions(docs.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    pairs = laid.mapInArrow(_merged(pa.int32() if kind == "int" else pa.int64()), f"a {kind}, b {kind}")
+    pairs = stage(pairs.distinct(), "pairs")
+    second = stage(confirmed(docs, pairs, shingle), "links")
     return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
 
 
@@ -198,10 +287,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     members = stage(classes(narrow, shingle), "classes")
-    found = components(links(narrow, members.where("tokens IS NOT NULL").select("id", "n", "tokens"), shingle))
+    found = components(links(narrow, members.where("tokens IS NOT NULL").select("id", "n", "tokens", "sketch"), shingle))
     out = members.select("id", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     comp = F.coalesce("component", "rep")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("id") == comp).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

@@ -167,6 +167,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_null_ids(spark):
+    """A row without an id takes part in its text's class; it is kept only where no row with an id has that text."""
+    rows = [(None, "a b c d e f", None), (3, "a b c d e f", "s"), (None, "x y z u v w", "s"), (None, None, None), (4, "", "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    exact = sorted(map(str, X.exact_dedup(d).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    assert exact == sorted(map(str, spark.createDataFrame([(None, 3, 2, False), (3, 3, 2, True), (None, None, 1, True), (None, 4, 2, False), (4, 4, 2, True)], "doc_id long, keep_id long, group_size long, kept boolean").collect()))
+    near = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_dedup(d, shingle=2).collect()}
+    assert near == {(None, 5, 3, False), (3, 5, 3, True), (None, 5, None, True), (None, 0, None, True), (4, 0, 4, True)}
+    assert P.pack(d).count() == 5 and M.mix(d).count() == 5 and L.scan_licenses(d).count() == 5 and Q.quality_report(d).count() == 5
+
+
 # -- license scan -------------------------------------------------------------------------------------------------------
 
 
