@@ -2,8 +2,10 @@
 
 1. A text's set is its distinct word shingles (64-bit hashes); its signature has K coordinates. Texts with equal sets
    form a class; only the class's smallest id goes on.
-2. A class is posted under each (coordinate, value) pair. Pairs of one posting join nothing and drop out. Of the others
-   only the rarest are needed: two classes with T equal coordinates share one of the K - T + 1 rarest of either
+2. A class is posted under each (coordinate, value) pair and size band. Sets of similarity 0.8 differ in size by a factor
+   of 1.25 at most, so with bands of that width each class is posted in its own band and the next one, and meets all it
+   could be alike to; texts of unlike length that share common shingles don't meet. Pairs of one posting join nothing
+   and drop out. Of the others only the rarest are needed: two classes with T equal coordinates share one of the K - T + 1 rarest of either
    (prefix merging); a class with fewer than T shared coordinates can't match at all.
 3. Each posting list elects the member whose coordinates are shared most. All members are compared with it alone; the
    confirmed links are contracted to components. This settles a group of copies in linear work.
@@ -36,6 +38,10 @@ from quarry.llm.components import components
 K, T = 32, 15
 #: Similarity of a link, in hundredths; words in a shingle, where a caller names no other number.
 PERCENT, SHINGLE = 80, 5
+#: Ratio of the sizes at the ends of a band; a little more than 1 / 0.8, so rounding can't part two sets that may be alike.
+BAND = 1.2501
+#: A posting's number: the band above bit 40, the coordinate above bit 32, the value below.
+_BAND_BIT, _COORDINATE = 40, 0xFF
 #: Members of a posting list that one task compares with each other at a time.
 BLOCK = 2_048
 #: Bins of the sketch, a byte each; its slack is SLACK standard deviations of its estimate, so no link is lost to it.
@@ -97,19 +103,25 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def grid(tokens: np.ndarray) -> np.ndarray:
+    """A byte for each coordinate, never 0, that is equal where the values are."""
+    return (1 + _mix(tokens.astype(np.uint64)) % np.uint64(255)).astype(np.uint8)
+
+
 def _features(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            sizes, prints, tokens, sketches = [], [], [], []
+            sizes, prints, tokens, grids, sketches = [], [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 s = shingle_set(text or b"", words, shingle)
                 sizes.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 tokens.append(signature(s) if len(s) else None)
+                grids.append(grid(tokens[-1]).tobytes() if len(s) else None)
                 sketches.append(sketch(s).tobytes() if len(s) else None)
-            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "print", "tokens", "sketch"])
+            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(grids, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "print", "tokens", "grid", "sketch"])
 
     return run
 
@@ -150,19 +162,11 @@ class _Merge:
 
     def __init__(self, rows: pa.Table, token: int, i: int, j: int):
         self.ids, self.comp, self.n, self.side = (rows.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
-        self.all, self.prefix = (self._grid(rows.column(c)) for c in ("tokens", "prefix"))
+        self.all = np.frombuffer(b"".join(rows.column("grid").to_pylist()), np.uint8).reshape(len(self.ids), K)
+        bits = (rows.column("mask").to_numpy()[:, None] >> np.arange(K)) & 1
+        self.prefix = self.all * bits.astype(np.uint8)
         self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(self.ids), BINS)
-        self.coordinate, self.i, self.j = token >> 32, i, j
-
-    @staticmethod
-    def _grid(lists: pa.ChunkedArray) -> np.ndarray:
-        """A byte for each coordinate of each row, 0 where the row doesn't have it."""
-        flat = lists.combine_chunks()
-        tokens = flat.flatten().to_numpy()
-        rows = np.repeat(np.arange(len(flat)), np.diff(flat.offsets.to_numpy()))
-        out = np.zeros((len(flat), K), np.uint8)
-        out[rows, tokens >> 32] = 1 + (_mix(tokens.astype(np.uint64)) % np.uint64(255)).astype(np.uint8)
-        return out
+        self.coordinate, self.i, self.j = (token >> 32) & _COORDINATE, i, j
 
     def pairs(self) -> Iterator[tuple]:
         xs, ys = np.flatnonzero(self.side == self.i), np.flatnonzero(self.side == self.j)
@@ -172,7 +176,7 @@ class _Merge:
                 near = near[self.ids[near] > self.ids[x]]
             # Of the lists in which a pair meets, that of the lowest coordinate has it.
             near = near[((self.prefix[near] == self.prefix[x]) & (self.prefix[x] > 0)).argmax(axis=1) == self.coordinate]
-            near = near[((self.all[near] == self.all[x]) & (self.all[x] > 0)).sum(axis=1) >= T]
+            near = near[(self.all[near] == self.all[x]).sum(axis=1) >= T]
             near = near[self._close(x, near)]
             for y in near:
                 yield min(self.ids[x], self.ids[y]), max(self.ids[x], self.ids[y])
@@ -221,22 +225,29 @@ def _merged(kind: pa.DataType):
 
 
 def classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs(id, text) -> (id, n, rep, tokens, sketch): rep is the smallest id with the same set; tokens and sketch for that one alone."""
-    feats = stage(docs.mapInArrow(_features(shingle), f"id {docs.schema['id'].dataType.simpleString()}, n bigint, print binary, tokens array<bigint>, sketch binary"), "features")
+    """docs(id, text) -> (id, n, rep, tokens, grid, sketch): rep is the smallest id with the same set; the last three for that one alone."""
+    feats = stage(docs.mapInArrow(_features(shingle), f"id {docs.schema['id'].dataType.simpleString()}, n bigint, print binary, tokens array<bigint>, grid binary, sketch binary"), "features")
     reps = feats.where("n > 0").groupBy("print").agg(F.min("id").alias("rep"))
     rows = feats.join(reps, "print", "left")
-    own = [F.when(F.col("id") == F.col("rep"), F.col(c)).alias(c) for c in ("tokens", "sketch")]
+    own = [F.when(F.col("id") == F.col("rep"), F.col(c)).alias(c) for c in ("tokens", "grid", "sketch")]
     return rows.select("id", "n", F.coalesce("rep", "id").alias("rep"), *own)
 
 
 def postings(members: DataFrame) -> DataFrame:
-    """members(id, n, tokens) -> candidates (id, n, tokens, prefix, shared): see step 2 of the module's text."""
-    one = members.select("id", "n", F.explode("tokens").alias("token"))
+    """members(id, n, tokens) -> candidates (id, band, prefix, mask, shared), one row for each band: see step 2.
+
+    mask has a bit for each coordinate in the prefix.
+    """
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("bigint")
+    banded = members.withColumn("band", F.explode(F.array(own, own + 1)))
+    one = banded.select("id", F.explode(F.transform("tokens", lambda t: t + F.shiftleft(F.col("band"), _BAND_BIT))).alias("token"))
     often = one.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    joined = one.join(often, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    joined = joined.where(F.size("t") >= T)
-    tokens = F.transform("t", lambda x: x["token"])
-    return joined.select("id", "n", tokens.alias("tokens"), F.slice(tokens, 1, F.size("t") - (T - 1)).alias("prefix"), F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["df"]).alias("shared"))
+    band = F.shiftright("token", _BAND_BIT).alias("band")
+    joined = one.join(often, "token").groupBy("id", band).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t")).where(F.size("t") >= T)
+    prefix = F.slice(F.transform("t", lambda x: x["token"]), 1, F.size("t") - (T - 1))
+    shared = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["df"])
+    held = joined.select("id", "band", prefix.alias("prefix"), shared.alias("shared"))
+    return held.withColumn("mask", F.expr(f"aggregate(prefix, 0L, (a, t) -> a | shiftleft(1L, CAST(shiftright(t, 32) & {_COORDINATE} AS INT)))"))
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
@@ -259,23 +270,24 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
 def links(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
     """Confirmed links (a, b) between class representatives; enough of them to connect all that are connected."""
     found = stage(postings(members), "candidates")
+    base = stage(by_ids(members, "id", found.select("id").distinct(), "left_semi"), "members")
     kind = docs.schema["id"].dataType.simpleString()
 
     posted = found.select("id", "shared", F.explode("prefix").alias("token"))
     heads = posted.groupBy("token").agg(F.max(F.struct("shared", F.bitwise_not("id").alias("i"))).alias("head")).select("token", F.bitwise_not("head.i").alias("head"))
     stars = posted.join(heads, "token").where("id != head").select("id", "head").distinct()
-    one, other = found.select("id", "n", "tokens"), found.select(F.col("id").alias("head"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"))
+    one, other = base.select("id", "n", "tokens"), base.select(F.col("id").alias("head"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"))
     sized = 100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")
     stars = stars.join(one, "id").join(other, "head").where(sized & (F.size(F.array_intersect("tokens", "tokens2")) >= T))
     first = stage(confirmed(docs, stars.select(F.col("head").alias("a"), F.col("id").alias("b")), shingle), "links")
     comps = stage(components(first), "contracted")
 
-    labelled = found.join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "tokens", "prefix", F.coalesce("component", "id").alias("comp"))
-    spread = labelled.select("id", "comp", F.explode("prefix").alias("token"))
+    labelled = found.join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", "mask", "prefix", F.coalesce("component", "id").alias("comp"))
+    spread = labelled.select("id", "comp", "mask", F.explode("prefix").alias("token"))
     open_lists = spread.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
-    work = spread.select("id", "token").join(open_lists, "token").join(labelled.join(members.select("id", "sketch"), "id"), "id")
+    work = spread.join(open_lists, "token").join(base, "id")
     work = work.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("id", "n", "comp", "tokens", "prefix", "sketch", "token", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    work = work.select("id", "n", "comp", "mask", "grid", "sketch", "token", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
     laid = work.repartition(shuffle_partitions(docs.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
     pairs = laid.mapInArrow(_merged(pa.int32() if kind == "int" else pa.int64()), f"a {kind}, b {kind}")
     pairs = stage(pairs.distinct(), "pairs")
@@ -287,7 +299,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     members = stage(classes(narrow, shingle), "classes")
-    found = components(links(narrow, members.where("tokens IS NOT NULL").select("id", "n", "tokens", "sketch"), shingle))
+    found = components(links(narrow, members.where("tokens IS NOT NULL").select("id", "n", "tokens", "grid", "sketch"), shingle))
     out = members.select("id", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     comp = F.coalesce("component", "rep")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
