@@ -167,6 +167,8 @@ class _Merge:
         self.prefix = self.all * bits.astype(np.uint8)
         self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(self.ids), BINS)
         self.coordinate, self.i, self.j = (token >> 32) & _COORDINATE, i, j
+        #: Two members of the band below have met there.
+        self.below = np.floor(np.log(self.n) / np.log(BAND)) < token >> _BAND_BIT
 
     def pairs(self) -> Iterator[tuple]:
         xs, ys = np.flatnonzero(self.side == self.i), np.flatnonzero(self.side == self.j)
@@ -174,6 +176,8 @@ class _Merge:
             near = ys[(self.comp[ys] != self.comp[x]) & (100 * np.minimum(self.n[ys], self.n[x]) >= PERCENT * np.maximum(self.n[ys], self.n[x]))]
             if self.i == self.j:
                 near = near[self.ids[near] > self.ids[x]]
+            if self.below[x]:
+                near = near[~self.below[near]]
             # Of the lists in which a pair meets, that of the lowest coordinate has it.
             near = near[((self.prefix[near] == self.prefix[x]) & (self.prefix[x] > 0)).argmax(axis=1) == self.coordinate]
             near = near[(self.all[near] == self.all[x]).sum(axis=1) >= T]
