@@ -104,8 +104,8 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def grid(tokens: np.ndarray) -> np.ndarray:
-    """A byte for each coordinate, never 0, that is equal where the values are."""
-    return (1 + _mix(tokens.astype(np.uint64)) % np.uint64(255)).astype(np.uint8)
+    """The coordinates' values whole: which list owns a pair is decided on them, so two values must never look equal."""
+    return (tokens & 0xFFFFFFFF).astype("<u4")
 
 
 def _features(shingle: int):
@@ -162,9 +162,8 @@ class _Merge:
 
     def __init__(self, rows: pa.Table, token: int, i: int, j: int):
         self.ids, self.comp, self.n, self.side = (rows.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
-        self.all = np.frombuffer(b"".join(rows.column("grid").to_pylist()), np.uint8).reshape(len(self.ids), K)
-        bits = (rows.column("mask").to_numpy()[:, None] >> np.arange(K)) & 1
-        self.prefix = self.all * bits.astype(np.uint8)
+        self.all = np.frombuffer(b"".join(rows.column("grid").to_pylist()), "<u4").reshape(len(self.ids), K)
+        self.prefix = ((rows.column("mask").to_numpy()[:, None] >> np.arange(K)) & 1).astype(bool)
         self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(self.ids), BINS)
         self.coordinate, self.i, self.j = (token >> 32) & _COORDINATE, i, j
         #: Two members of the band below have met there.
@@ -179,8 +178,9 @@ class _Merge:
             if self.below[x]:
                 near = near[~self.below[near]]
             # Of the lists in which a pair meets, that of the lowest coordinate has it.
-            near = near[((self.prefix[near] == self.prefix[x]) & (self.prefix[x] > 0)).argmax(axis=1) == self.coordinate]
-            near = near[(self.all[near] == self.all[x]).sum(axis=1) >= T]
+            same = self.all[near] == self.all[x]
+            own = (same & self.prefix[near] & self.prefix[x]).argmax(axis=1) == self.coordinate
+            near = near[own & (same.sum(axis=1) >= T)]
             near = near[self._close(x, near)]
             for y in near:
                 yield min(self.ids[x], self.ids[y]), max(self.ids[x], self.ids[y])

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -135,6 +136,20 @@ def test_near_dedup_without_a_hub(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows, 2).items()} and got[59] == 0 and got[120] == 120
 
 
+def test_merge_keeps_pairs_whose_bytes_collide():
+    """Two members whose values at the lowest coordinate differ, though one byte made of them is equal, meet in the next one's list."""
+    old = lambda v: 1 + N._mix(np.array([v], np.uint64)) % np.uint64(255)
+    twin = next(v for v in range(1, 10_000) if old(v) == old(0))
+    tokens = np.stack([np.arange(N.K, dtype=np.int64) << 32] * 2)
+    tokens[1, 0] += twin
+    grids = [N.grid(t).tobytes() for t in tokens]
+    bins = bytes([7]) * N.BINS
+    row = {"n": pa.array([100, 100], pa.int64()), "mask": pa.array([3, 3], pa.int64()), "side": pa.array([0, 0], pa.int32())}
+    rows = pa.table({"id": pa.array([1, 2], pa.int64()), "comp": pa.array([1, 2], pa.int64()), "grid": grids, "sketch": [bins, bins]} | row)
+    band = int(np.floor(np.log(100) / np.log(N.BAND))) << N._BAND_BIT
+    assert list(N._Merge(rows, band | 1 << 32, 0, 0).pairs()) == [(1, 2)]
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 2**63, 900, dtype=np.uint64), r.integers(0, 2**63, 100, dtype=np.uint64)
