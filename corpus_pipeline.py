@@ -31,8 +31,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' ids into sequences."""
-    return packing.packed_digests(docs)
+    """Packs the documents' ids into sequences that follow the order of the rows."""
+    return packing.packed_digests(docs, in_order=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

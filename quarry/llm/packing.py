@@ -22,15 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import global_rank, stage
+from quarry.llm.common import global_rank, shuffle_partitions, stage
 from quarry.llm.tokens import byte_bpe, vocabulary_path
 
 SIZE = 2048
 #: The id that ends each document.
 END = 0
+_SLOTS = "length bigint, low bigint, ranks bigint, sequence bigint, each bigint, base bigint"
 
 
 def piece_bounds(n: int, size: int) -> list[tuple[int, int]]:
@@ -44,7 +46,7 @@ def piece_bounds(n: int, size: int) -> list[tuple[int, int]]:
 def _pieces(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = byte_bpe(path), np.uint32(END).tobytes()
-        names = ["doc_id", "piece", "start", "length", "ids"]
+        names = ["doc_id", "_file", "_block", "_row", "piece", "start", "length", "ids"]
         for batch in batches:
             rows, docs = [], batch.column("doc_id")
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -52,7 +54,7 @@ def _pieces(path: str, size: int):
                 rows += [(i, k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(piece_bounds(len(ids) // 4, size))]
             at, *rest = zip(*rows, strict=True) if rows else ([],) * 5
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([docs.take(pa.array(at, pa.int32())), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int32())) for c in (docs, *map(batch.column, names[1:4]))), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=names)
 
     return run
 
@@ -139,21 +141,81 @@ def slots(shapes: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int,
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, path: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids (little-endian uint32), sequence_id, offset."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, path: str | None = None, in_order: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids (little-endian uint32), sequence_id, offset.
+
+    With in_order, sequences follow the rows of docs: those of equal length are taken in their order, and sequences are
+    numbered by the mean position of the ids they hold.
+    """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    place = [*_file_place(docs), F.monotonically_increasing_id()] if in_order else [F.lit(""), F.lit(0), F.lit(0)]
+    place = [c.cast(k).alias(n) for c, k, n in zip(place, ("string", "bigint", "bigint"), ("_file", "_block", "_row"), strict=True)]
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *place)
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    cut = narrow.mapInArrow(_pieces(path or vocabulary_path(), size), f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
-    pieces = stage(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    cut = narrow.mapInArrow(_pieces(path or vocabulary_path(), size), f"doc_id {kind}, _file string, _block bigint, _row bigint, piece int, start bigint, length bigint, ids binary")
+    pieces = stage((cut if in_order else cut.drop("_file", "_block", "_row")).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
-    places = spark.createDataFrame(slots(plan(counts, size)), "length bigint, low bigint, ranks bigint, sequence bigint, each bigint, base bigint")
-    ranked = global_rank(pieces.select("uid", "length"), "length", F.xxhash64("uid"), "lengths")
-    placed = _placed(ranked, places)
+    shapes = plan(counts, size)
+    if in_order:
+        ranked = global_rank(_positions(pieces), "length", F.struct("position", "piece"), "lengths")
+        placed = _placed_in_order(ranked, shapes)
+    else:
+        places = spark.createDataFrame(slots(shapes), _SLOTS)
+        placed = _placed(global_rank(pieces.select("uid", "length"), "length", F.xxhash64("uid"), "lengths"), places)
     out = pieces.join(placed, "uid")
     return out.select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
 
 
+def _file_place(docs: DataFrame) -> list[Column]:
+    """File and start of the split a row comes from. Rows of several sources have none: their partitions are in order."""
+    place = [F.input_file_name(), F.input_file_block_start()]
+    try:
+        docs.select(*place)
+    except AnalysisException:
+        return [F.lit(""), F.lit(-1)]
+    return place
+
+
+def _positions(pieces: DataFrame) -> DataFrame:
+    """uid, length, piece and position: the place of the piece's row among all rows that were read.
+
+    Readers take the splits of files in any order, so runs of rows are put in the order of file names and split starts.
+    """
+    part = F.shiftright("_row", 33)
+    keys = ("_file", "_block", "_part")
+    runs = pieces.groupBy("_file", "_block", part.alias("_part")).agg(F.min("_row").alias("first"), F.max("_row").alias("last")).collect()  # a row a split
+    table, at = [], 0
+    for r in sorted(runs, key=lambda r: tuple(r[k] for k in keys)):
+        table.append((*(r[k] for k in keys), r["first"], at))
+        at += r["last"] - r["first"] + 1
+    starts = pieces.sparkSession.createDataFrame(table, "_file string, _block bigint, _part bigint, first bigint, at bigint")
+    joined = pieces.select("uid", "length", "piece", "_file", "_block", "_row", part.alias("_part")).join(F.broadcast(starts), list(keys))
+    return joined.select("uid", "length", "piece", (F.col("at") + F.col("_row") - F.col("first")).alias("position"))
+
+
+def _placed_in_order(ranked: DataFrame, shapes: list[tuple[list[int], int]]) -> DataFrame:
+    """uid -> sequence_id, offset. A shape's bins are spread evenly over the order (those of rare shapes from places that
+    differ), so a bin takes pieces of about one place of it from each length."""
+    stripe, spark = 4096, ranked.sparkSession
+    rows = [(*slot, bins, (i * 0.6180339887498949) % 1) for i, slot, bins in _numbered_slots(shapes)]
+    table = spark.createDataFrame(rows, f"{_SLOTS}, bins bigint, phase double")
+    cut = table.withColumn("from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1, F.lit(stripe).cast("bigint"))))
+    cut = cut.repartition(shuffle_partitions(spark)).withColumn("j", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + stripe, "bins") - 1)))
+    cut = cut.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("each") - 1)))
+    each = cut.select("length", (F.col("sequence") + F.col("j")).alias("bin"), (F.col("base") + F.col("copy") * F.col("length")).alias("offset"), ((F.col("j") + F.col("phase")) / F.col("bins")).alias("time"))
+    taken = global_rank(each, "length", F.struct("time", "bin", "offset"), "slots").select("length", "rank", "bin", "offset")
+    held = stage(ranked.join(taken, ["length", "rank"]).select("uid", "length", "position", "bin", "offset"), "bins")
+    means = held.groupBy("bin").agg((F.sum(F.col("position") * F.col("length")) / F.sum("length")).alias("mean"))
+    numbered = global_rank(means.withColumn("all", F.lit(0)), "all", F.struct("mean", "bin"), "sequences").select("bin", F.col("rank").alias("sequence_id"))
+    return held.join(numbered, "bin").select("uid", "sequence_id", "offset")
+
+
+def _numbered_slots(shapes: list[tuple[list[int], int]]) -> list[tuple[int, tuple, int]]:
+    """(number of the shape, slot, bins of the shape) of each slot."""
+    numbers = [i for i, (shape, _) in enumerate(shapes) for _ in dict.fromkeys(shape)]
+    return [(i, slot, shapes[i][1]) for i, slot in zip(numbers, slots(shapes), strict=True)]
+
+
 def _placed(ranked: DataFrame, places: DataFrame) -> DataFrame:
     """uid -> sequence_id, offset. Slots cover rank intervals; both sides are cut into stripes of ranks for an equi-join."""
     stripe = 4096
@@ -165,7 +227,7 @@ def _placed(ranked: DataFrame, places: DataFrame) -> DataFrame:
     return joined.select("uid", (F.col("sequence") + F.floor(k / F.col("each"))).cast("bigint").alias("sequence_id"), (F.col("base") + (k % F.col("each")) * F.col("length")).cast("bigint").alias("offset"))
 
 
-def packed_digests(docs: DataFrame) -> DataFrame:
+def packed_digests(docs: DataFrame, in_order: bool = False) -> DataFrame:
     """pack() with the checksum of each piece's ids in place of the ids."""
-    p = pack(docs)
+    p = pack(docs, in_order=in_order)
     return p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

@@ -334,6 +334,28 @@ def test_plan_places_every_piece(counts):
     assert sum(b for _, b in shapes) <= len(first_fit) + 1
 
 
+def test_packed_sequences_follow_the_mix(spark, tmp_path, empty):
+    """Over the first sequences, sources have the shares of the first mixed rows, though files of unlike size are read in any order."""
+    r = random.Random(8)
+    rows = [(i, " ".join(["a"] * r.randint(1, 40)), "hot" if i % 10 else "rare") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    M.mixed(docs, {"hot": 1.0, "rare": 1.0}).write.parquet(str(tmp_path / "mixed"))
+    source = {i: s for i, _, s in rows}
+    got = P.pack(spark.read.parquet(str(tmp_path / "mixed")), size=64, in_order=True).collect()
+    assert sorted(x.doc_id for x in got) == list(range(3000))
+    by_sequence = defaultdict(list)
+    for x in got:
+        by_sequence[x.sequence_id].append(x)
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    for pieces in by_sequence.values():
+        at = sorted((x.offset, x.length) for x in pieces)
+        assert [a for a, _ in at] == [sum(n for _, n in at[:k]) for k in range(len(at))] and sum(n for _, n in at) <= 64
+    for share in (0.05, 0.1, 0.15):  # rare rows are used up after a fifth
+        first = [x for q in range(int(share * len(by_sequence))) for x in by_sequence[q]]
+        assert abs(sum(source[x.doc_id] == "rare" for x in first) / len(first) - 0.5) < 0.12
+    assert P.pack(empty, in_order=True).collect() == []
+
+
 def test_pack(docs, empty):
     got = P.pack(docs).collect()
     bpe = byte_bpe(vocabulary_path())
