@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A set of ids is broadcast only after it was counted and found to hold at most this many longs (16 MB).
 BROADCAST_IDS = 2_000_000
+#: Rows of one key that one task gets where keys are salted.
+GROUP = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +23,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
+    """A folder for one written step. Whatever is left of it goes when the application ends."""
+    path = f"{shared_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def unstage(*steps: DataFrame) -> None:
+    """Deletes written steps that nothing will read again."""
+    for df in steps:
+        spark, path = df.sparkSession, df._quarry_path
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_at_end(spark: SparkSession, name: str) -> None:
+    """Drops a table from the catalog when the program ends, if the session still lives then."""
+
+    def drop() -> None:
+        context = spark.sparkContext
+        if context._jsc is not None and not context._jsc.sc().isStopped():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    atexit.register(drop)
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -31,7 +57,9 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     # not do for hours; a job of many stages would keep them all.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +86,27 @@ def with_rows(df: DataFrame, key: str, rows: DataFrame) -> DataFrame:
     return df.join(F.broadcast(rows) if few else rows, key)
 
 
+def hot(rows: DataFrame, key: str) -> DataFrame:
+    """(key, salts) of the keys with more than GROUP rows, written; there is at most one for GROUP rows."""
+    return stage(rows.groupBy(key).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts")).where("salts > 1"), "hot")
+
+
+def with_salts(rows: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """rows with `salts`, 1 unless key is one of the heavy ones, which are broadcast after counting them."""
+    few = heavy.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(heavy) if few else heavy, key, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+
+def salted(column: str) -> Column:
+    """The salt of a row of with_salts, by a column that differs from row to row."""
+    return F.pmod(F.xxhash64(column), F.col("salts")).cast("int")
+
+
+def salts() -> Column:
+    """A row for each salt."""
+    return F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+
+
 def global_rank(df: DataFrame, key: str, order: Column, tag: str) -> DataFrame:
     """Adds `rank` (from 0, gapless within each value of key) without a window over a key.
 

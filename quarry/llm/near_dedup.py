@@ -12,14 +12,17 @@
 4. Lists whose members are still in several components are merged in blocks: collisions of two members of different
    components are counted over all coordinates, and pairs below T, of one component, or of unlike sizes are skipped. So
    are pairs that a finer sketch (one-permutation hashing, BINS bytes) puts five deviations below the similarity asked
-   for, and pairs that meet in an earlier list. What is left is nearly all linked, however large a group is.
-5. Every pair is confirmed on the full shingle sets: 100 * intersection >= 80 * union.
+   for, and pairs that meet in an earlier list. Members that are left with a pair go on: no pair leaves a task, so rows
+   grow with the members of a list and not with its pairs.
+5. Links are confirmed on the full shingle sets, 100 * intersection >= 80 * union: those of step 3 in a stream of members
+   beside their head, those of step 4 in blocks that hold the texts of the members left, most similar pairs first. A pair
+   whose components have been joined is skipped, so a block returns fewer links than it has components.
 
 With K = 32 and T = 15 a pair of similarity 0.8 is missed with probability 1e-5, one of 0.9 with less than 1e-9.
 
 Words are runs of characters outside [\\x20\\x09-\\x0D], A-Z lower-cased. Defined cases: a null or empty text has no set,
 n_shingles 0 and no links; with fewer words than a shingle the whole sequence is one; rows with the same id are one node that has the links of all
-of them; ids are whole numbers, and a row without one belongs to the class of its text but links nothing itself; texts of any length are used whole; an empty table gives an empty result; other columns pass through.
+of them; ids are of any type that can be ordered, and a row without one belongs to the class of its text but links nothing itself; texts of any length are used whole; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import by_ids, shuffle_partitions, stage, with_rows
+from quarry.llm.common import by_ids, hot, salted, salts, shuffle_partitions, stage, unstage, with_rows, with_salts
 from quarry.llm.components import components
 
 K, T = 32, 15
@@ -42,12 +45,10 @@ PERCENT, SHINGLE = 80, 5
 BAND = 1.2501
 #: A posting's number: the band above bit 40, the coordinate above bit 32, the value below.
 _BAND_BIT, _COORDINATE = 40, 0xFF
-#: Members of a posting list that one task compares with each other at a time.
-BLOCK = 2_048
+#: Members of a posting list that one task compares with each other at a time, if their sets hold SHINGLES in all at most.
+BLOCK, SHINGLES = 2_048, 4_000_000
 #: Bins of the sketch, a byte each; its slack is SLACK standard deviations of its estimate, so no link is lost to it.
 BINS, SLACK = 512, 5.0
-#: Members of a head that one task confirms at a time.
-GROUP = 2_000
 
 _MUL = np.random.default_rng(20240501).integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(20240502).integers(1, 1 << 63, K, dtype=np.uint64)
@@ -103,25 +104,19 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def grid(tokens: np.ndarray) -> np.ndarray:
-    """The coordinates' values whole: which list owns a pair is decided on them, so two values must never look equal."""
-    return (tokens & 0xFFFFFFFF).astype("<u4")
-
-
 def _features(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            sizes, prints, tokens, grids, sketches = [], [], [], [], []
+            sizes, prints, tokens, sketches = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 s = shingle_set(text or b"", words, shingle)
                 sizes.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 tokens.append(signature(s) if len(s) else None)
-                grids.append(grid(tokens[-1]).tobytes() if len(s) else None)
                 sketches.append(sketch(s).tobytes() if len(s) else None)
-            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(grids, pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "print", "tokens", "grid", "sketch"])
+            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "print", "tokens", "sketch"])
 
     return run
 
@@ -138,103 +133,158 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _confirm(shingle: int):
-    """Rows sorted by (head, salt, member): a head's text comes first and the texts to compare with it follow."""
+    """Rows sorted by (head, salt, member): a head's texts come first and the texts to compare with them follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, head, salt, first = _Words(), None, None, np.zeros(0, np.uint64)
+        words, key, firsts = _Words(), None, []
         for batch in batches:
             columns = [batch.column(c) for c in ("head", "salt", "id", "member")]
             keep = []
             rows = zip(*(c.to_pylist() for c in columns[:2]), columns[3].to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
-            for h, s, member, text in rows:
+            for head, salt, member, text in rows:
                 own = shingle_set(text or b"", words, shingle)
-                if not member and (h, s) != (head, salt):
-                    head, salt, first = h, s, own
-                keep.append(member and (h, s) == (head, salt) and alike(first, own))
+                if not member:
+                    if (head, salt) != key:
+                        key, firsts = (head, salt), []
+                    if not any(np.array_equal(own, f) for f in firsts):  # an id may stand on rows of different texts
+                        firsts.append(own)
+                keep.append(member and (head, salt) == key and any(alike(f, own) for f in firsts))
             out = pa.RecordBatch.from_arrays([columns[0], columns[2]], names=["a", "b"])
             yield out.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-class _Merge:
-    """Pairs of a posting list's blocks i and j: members of different components that may be alike (step 4)."""
+class _Block:
+    """Members of a posting list's blocks i and j, and the pairs of them that may be linked (step 4)."""
+
+    #: Members of block i that are held against all of block j at a time, and pairs whose sketches are.
+    ROWS, PAIRS = 96, 8_192
 
     def __init__(self, rows: pa.Table, token: int, i: int, j: int):
-        self.ids, self.comp, self.n, self.side = (rows.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
-        self.all = np.frombuffer(b"".join(rows.column("grid").to_pylist()), "<u4").reshape(len(self.ids), K)
-        self.prefix = ((rows.column("mask").to_numpy()[:, None] >> np.arange(K)) & 1).astype(bool)
-        self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(self.ids), BINS)
+        rows = rows.combine_chunks()
+        m = rows.num_rows
+        self.comp = rows.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        self.n, self.side = (rows.column(c).to_numpy() for c in ("n", "side"))
+        #: A row for each coordinate. The values are whole: which list has a pair is decided on them, so two values must never look equal.
+        self.values = np.ascontiguousarray(rows.column("grid").combine_chunks().flatten().to_numpy().reshape(m, K).T)
+        self.prefix = ((rows.column("mask").to_numpy()[None, :] >> np.arange(K)[:, None]) & 1).astype(bool)
+        self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(m, BINS)
         self.coordinate, self.i, self.j = (token >> 32) & _COORDINATE, i, j
         #: Two members of the band below have met there.
         self.below = np.floor(np.log(self.n) / np.log(BAND)) < token >> _BAND_BIT
 
-    def pairs(self) -> Iterator[tuple]:
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of both members and the sketches' similarity, of pairs of different components that may be alike."""
         xs, ys = np.flatnonzero(self.side == self.i), np.flatnonzero(self.side == self.j)
-        for x in xs:
-            near = ys[(self.comp[ys] != self.comp[x]) & (100 * np.minimum(self.n[ys], self.n[x]) >= PERCENT * np.maximum(self.n[ys], self.n[x]))]
-            if self.i == self.j:
-                near = near[self.ids[near] > self.ids[x]]
-            if self.below[x]:
-                near = near[~self.below[near]]
-            # Of the lists in which a pair meets, that of the lowest coordinate has it.
-            same = self.all[near] == self.all[x]
-            own = (same & self.prefix[near] & self.prefix[x]).argmax(axis=1) == self.coordinate
-            near = near[own & (same.sum(axis=1) >= T)]
-            near = near[self._close(x, near)]
-            for y in near:
-                yield min(self.ids[x], self.ids[y]), max(self.ids[x], self.ids[y])
-
-    def _close(self, x: int, ys: np.ndarray) -> np.ndarray:
-        """Whether the sketches allow a similarity of PERCENT. Bins sample the union without replacement."""
-        mine, theirs = self.sketch[x], self.sketch[ys]
-        filled = ((mine | theirs) > 0).sum(axis=1)
-        equal = ((mine == theirs) & (mine > 0)).sum(axis=1)
+        main = np.bincount(self.comp[ys]).argmax() if len(ys) else -1
+        if self.i == self.j:  # one member of a pair at least is outside the largest component
+            xs = xs[self.comp[xs] != main]
+        found = [self._close(*self._collisions(xs[at : at + self.ROWS], ys, main)) for at in range(0, len(xs), self.ROWS)]
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
+
+    def _collisions(self, xs: np.ndarray, ys: np.ndarray, main: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs with T equal coordinates that meet in no list of a lower coordinate."""
+        small, large = np.minimum.outer(self.n[xs], self.n[ys]), np.maximum.outer(self.n[xs], self.n[ys])
+        open_ = (self.comp[xs][:, None] != self.comp[ys]) & (100 * small >= PERCENT * large) & ~(self.below[xs][:, None] & self.below[ys])
+        if self.i == self.j:
+            open_ &= (self.comp[ys] == main) | (ys > xs[:, None])
+        # Members of neither side that have no open pair are left out before coordinates are compared.
+        xs, ys, open_ = xs[open_.any(axis=1)], ys[open_.any(axis=0)], open_[np.ix_(open_.any(axis=1), open_.any(axis=0))]
+        equal = np.zeros(open_.shape, np.uint8)
+        for k in range(K):
+            same = self.values[k, xs][:, None] == self.values[k, ys]
+            equal += same
+            if k < self.coordinate:  # of the lists in which a pair meets, that of the lowest coordinate has it
+                open_ &= ~(same & self.prefix[k, xs][:, None] & self.prefix[k, ys])
+        x, y = np.nonzero(open_ & (equal >= T))
+        return xs[x], ys[y]
+
+    def _close(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs whose sketches allow a similarity of PERCENT. Bins sample the union without replacement."""
+        filled, equal = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for at in range(0, len(x), self.PAIRS):
+            part = slice(at, at + self.PAIRS)
+            one, two = self.sketch[x[part]], self.sketch[y[part]]
+            filled[part] = ((one | two) > 0).sum(axis=1)
+            equal[part] = ((one == two) & (one > 0)).sum(axis=1)
         s = PERCENT / 100
-        union = (self.n[x] + self.n[ys]) / (1 + s)
+        union = (self.n[x] + self.n[y]) / (1 + s)
         deviation = np.sqrt(s * (1 - s) / filled * np.maximum(1 - filled / union, 0.02))
-        return equal / filled >= s - SLACK * deviation - 0.01
-
+        keep = equal / filled >= s - SLACK * deviation - 0.01
+        return x[keep], y[keep], (equal / filled)[keep]
+
+    def links(self, texts: list[bytes], words: _Words, shingle: int) -> list[tuple[int, int]]:
+        """Places of confirmed pairs that join all components of the block which links join."""
+        x, y, similar = self.pairs()
+        sets: dict[int, np.ndarray] = {}
+        root = list(range(int(self.comp.max()) + 1))
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        def full(at: int) -> np.ndarray:
+            if at not in sets:
+                sets[at] = shingle_set(texts[at], words, shingle)
+            return sets[at]
 
-def _merged(kind: pa.DataType):
-    """Streams over rows sorted by (token, i, j); one list's two blocks are in memory at a time."""
-
-    def flush(held: list[pa.RecordBatch], key: tuple, out: list) -> None:
-        out += _Merge(pa.Table.from_batches(held), *key).pairs()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for batch in batches:
-            out: list[tuple] = []
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                own = tuple(int(k) for k in keys[a])
-                if own != key and held:
-                    flush(held, key, out)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                key = own
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*out, strict=True)], names=["a", "b"])
         out = []
-        if held:
-            flush(held, key, out)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*out, strict=True)], names=["a", "b"])
+        for p in np.argsort(-similar, kind="stable").tolist():
+            a, b = int(x[p]), int(y[p])
+            one, two = find(int(self.comp[a])), find(int(self.comp[b]))
+            if one != two and alike(full(a), full(b)):
+                root[one] = two
+                out.append((a, b))
+        return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int, int]]:
+    """(rows, token, i, j) of each block of rows sorted by (token, i, j); one is in memory at a time."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            own = tuple(keys[a].tolist())
+            if own != key and held:
+                yield pa.Table.from_batches(held), *key
+                held = []
+            held.append(batch.slice(a, b - a))
+            key = own
+    if held:
+        yield pa.Table.from_batches(held), *key
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each block that have a pair left."""
+    for rows, *key in _blocks(batches):
+        x, y, _ = _Block(rows, *key).pairs()
+        if len(x):
+            yield from rows.take(np.union1d(x, y)).combine_chunks().to_batches()
+
+
+def _joined(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for rows, *key in _blocks(batches):
+            texts = [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
+            if found := _Block(rows, *key).links(texts, words, shingle):
+                ids = rows.column("id").combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(side)) for side in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
 
-def classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs(id, text) -> (id, n, rep, tokens, grid, sketch): rep is the smallest id with the same set; the last three for that one alone."""
-    feats = stage(docs.mapInArrow(_features(shingle), f"id {docs.schema['id'].dataType.simpleString()}, n bigint, print binary, tokens array<bigint>, grid binary, sketch binary"), "features")
+def classes(feats: DataFrame) -> DataFrame:
+    """features -> (id, n, rep) of every row: rep is the smallest id with the same set."""
     reps = feats.where("n > 0").groupBy("print").agg(F.min("id").alias("rep"))
-    rows = feats.join(reps, "print", "left")
-    own = [F.when(F.col("id") == F.col("rep"), F.col(c)).alias(c) for c in ("tokens", "grid", "sketch")]
-    return rows.select("id", "n", F.coalesce("rep", "id").alias("rep"), *own)
+    return feats.select("id", "n", "print").join(reps, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
 
 
 def postings(members: DataFrame) -> DataFrame:
@@ -254,57 +304,105 @@ def postings(members: DataFrame) -> DataFrame:
     return held.withColumn("mask", F.expr(f"aggregate(prefix, 0L, (a, t) -> a | shiftleft(1L, CAST(shiftright(t, 32) & {_COORDINATE} AS INT)))"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike. Each text moves once for each head it is compared with.
+def confirmed(docs: DataFrame, pairs: DataFrame, heavy: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (head, id) whose full sets are alike. Each text moves once for each head it is compared with.
 
-    Pairs are grouped by a, their head. A head with many members is salted: its text goes to as many groups as bound the
-    members of one by GROUP, and a task streams over sorted rows with one head's set in memory.
+    A head with many members is salted: its text goes to as many groups as bound the members of one by GROUP, and a task
+    streams over sorted rows with one head's sets in memory.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    salted = pairs.join(heads, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    work = salted.select(F.col("b").alias("id"), F.col("a").alias("head"), "salt", F.lit(True).alias("member")).unionByName(
-        heads.select(F.col("a").alias("id"), F.col("a").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
-    )
-    work = stage(work, "work")
+    members = with_salts(pairs, "head", heavy).select("id", "head", salted("id").alias("salt"), F.lit(True).alias("member"))
+    heads = with_salts(pairs.select("head").distinct(), "head", heavy).select(F.col("head").alias("id"), "head", salts().alias("salt"), F.lit(False).alias("member"))
+    work = stage(members.unionByName(heads), "work")
     joined = with_rows(docs, "id", work).repartition("head", "salt").sortWithinPartitions("head", "salt", "member")
-    return joined.select("head", "salt", "id", "member", "text").mapInArrow(_confirm(shingle), f"a {kind}, b {kind}")
+    out = stage(joined.select("head", "salt", "id", "member", "text").mapInArrow(_confirm(shingle), f"a {kind}, b {kind}"), "links")
+    unstage(work)
+    return out
 
 
-def links(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """Confirmed links (a, b) between class representatives; enough of them to connect all that are connected."""
-    found = stage(postings(members), "candidates")
-    base = stage(by_ids(members, "id", found.select("id").distinct(), "left_semi"), "members")
-    kind = docs.schema["id"].dataType.simpleString()
-
+def stars(found: DataFrame, base: DataFrame) -> DataFrame:
+    """(head, id): each member of a posting list with the one whose coordinates are shared most (step 3), if they collide often enough."""
     posted = found.select("id", "shared", F.explode("prefix").alias("token"))
-    heads = posted.groupBy("token").agg(F.max(F.struct("shared", F.bitwise_not("id").alias("i"))).alias("head")).select("token", F.bitwise_not("head.i").alias("head"))
-    stars = posted.join(heads, "token").where("id != head").select("id", "head").distinct()
-    one, other = base.select("id", "n", "tokens"), base.select(F.col("id").alias("head"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"))
+    heads = posted.groupBy("token").agg(F.min(F.struct((-F.col("shared")).alias("s"), F.col("id").alias("i"))).alias("head")).select("token", F.col("head.i").alias("head"))
+    met = stage(posted.join(heads, "token").where("id != head").select("id", "head").distinct(), "met")
+    heavy = hot(met, "head")
+    one = base.select("id", "n", "tokens")
+    other = with_salts(base.join(met.select(F.col("head").alias("id")).distinct(), "id", "left_semi").withColumnRenamed("id", "head"), "head", heavy)
+    other = other.select("head", salts().alias("salt"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"))
+    both = with_salts(met, "head", heavy).select("id", "head", salted("id").alias("salt")).join(one, "id").join(other, ["head", "salt"])
     sized = 100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")
-    stars = stars.join(one, "id").join(other, "head").where(sized & (F.size(F.array_intersect("tokens", "tokens2")) >= T))
-    first = stage(confirmed(docs, stars.select(F.col("head").alias("a"), F.col("id").alias("b")), shingle), "links")
-    comps = stage(components(first), "contracted")
+    out = stage(both.where(sized & (F.size(F.array_intersect("tokens", "tokens2")) >= T)).select("head", "id").distinct(), "stars")
+    unstage(met, heavy)
+    return out
+
 
+def open_entries(found: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id, comp, mask, token, side, i, j): the members of lists with several components, in the blocks they go to.
+
+    Members of a list's largest component are not compared with each other, so they have blocks of their own, which meet
+    those of the other members only.
+    """
     labelled = found.join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", "mask", "prefix", F.coalesce("component", "id").alias("comp"))
     spread = labelled.select("id", "comp", "mask", F.explode("prefix").alias("token"))
-    open_lists = spread.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
-    work = spread.join(open_lists, "token").join(base, "id")
-    work = work.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("id", "n", "comp", "mask", "grid", "sketch", "token", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    laid = work.repartition(shuffle_partitions(docs.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    pairs = laid.mapInArrow(_merged(pa.int32() if kind == "int" else pa.int64()), f"a {kind}, b {kind}")
-    pairs = stage(pairs.distinct(), "pairs")
-    second = stage(confirmed(docs, pairs, shingle), "links")
+    held = spread.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    lists = held.groupBy("token").agg(F.sum("n").alias("df"), F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    block = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(SHINGLES / F.pow(F.lit(BAND), F.shiftright("token", _BAND_BIT)))))
+    alone = F.col("df") <= block
+    lists = lists.select(
+        "token",
+        F.when(~alone, F.col("main.comp")).alias("main"),
+        F.when(alone, 0).otherwise(F.ceil(F.col("main.n") / block)).cast("int").alias("mains"),
+        F.when(alone, 1).otherwise(F.ceil((F.col("df") - F.col("main.n")) / block)).cast("int").alias("others"),
+    )
+    work, hashed = spread.join(lists, "token"), F.xxhash64("id")
+    in_main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    work = work.withColumn("side", F.when(in_main, F.pmod(hashed, F.greatest("mains", F.lit(1)))).otherwise(F.col("mains") + F.pmod(hashed, F.col("others"))).cast("int"))
+    work = work.withColumn("other", F.explode(F.sequence(F.when(in_main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
+    return work.select("id", "comp", "mask", "token", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+
+
+def links(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """Confirmed links (a, b) between class representatives; enough of them to connect all that are connected."""
+    spark, kind = docs.sparkSession, docs.schema["id"].dataType
+    found = stage(postings(members.select("id", "n", "tokens")), "candidates")
+    base = by_ids(members, "id", found.select("id").distinct(), "left_semi")
+    pairs = stars(found, base)
+    heavy = hot(pairs, "head")
+    first = confirmed(docs, pairs, heavy, shingle)
+    unstage(pairs, heavy)
+    comps = stage(components(first), "contracted")
+    unstage(first)
+
+    entries = stage(open_entries(found, comps), "entries")
+    unstage(found)
+    own = by_ids(members, "id", entries.select("id").distinct(), "left_semi").select("id", "n", F.expr("transform(tokens, t -> CAST((t & 4294967295L) - 2147483648L AS INT))").alias("grid"), "sketch")
+    keys, n = ("token", "i", "j"), shuffle_partitions(spark)
+    laid = entries.join(own, "id").repartition(n, *keys).sortWithinPartitions(*keys)
+    left = stage(laid.mapInArrow(_left, laid.schema), "left")
+    unstage(entries)
+    texts = by_ids(docs, "id", left.select("id").distinct(), "left_semi").select("id", "text")
+    beside = left.join(texts, "id").repartition(n, *keys).sortWithinPartitions(*keys)
+    second = stage(beside.mapInArrow(_joined(shingle), f"a {kind.simpleString()}, b {kind.simpleString()}"), "links")
+    unstage(left)
     return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
 
 
+def id_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of the classes in which one id stands."""
+    several = rows.where("n > 0").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("id", "a")
+    return rows.where("n > 0").join(several, "id").select("a", F.col("rep").alias("b"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    members = stage(classes(narrow, shingle), "classes")
-    found = components(links(narrow, members.where("tokens IS NOT NULL").select("id", "n", "tokens", "grid", "sketch"), shingle))
-    out = members.select("id", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    kind = narrow.schema["id"].dataType.simpleString()
+    feats = stage(narrow.mapInArrow(_features(shingle), f"id {kind}, n bigint, print binary, tokens array<bigint>, sketch binary"), "features")
+    rows = stage(classes(feats), "classes")
+    members = by_ids(feats.select("id", "n", "tokens", "sketch").where("n > 0"), "id", rows.where("id = rep AND n > 0").select("id").distinct(), "left_semi")
+    found = components(links(narrow, members, shingle).unionByName(id_links(rows)))
+    unstage(feats)
+    out = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     comp = F.coalesce("component", "rep")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
 
