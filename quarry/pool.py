@@ -23,6 +23,7 @@ class Pool:
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"quarry-{threading.get_ident()}")
             own = Engine(spark, self.engine._path)
             own._views = dict(self.engine._views)
+            own._own = {**self.engine._own, **own._own}
             try:
                 yield own
             finally:

@@ -22,7 +22,7 @@ from quarry.sql.lexer import statements
 from quarry.sql.lower import Lowering, Source
 from quarry.sql.parser import parse
 from quarry.store.store import Store, Transaction
-from quarry.values import kind_of, name
+from quarry.values import Expr, kind_of, literal, name
 
 _views = 0
 
@@ -133,6 +133,9 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # Recursion ends where a query ends it, not at Spark's limits of levels and rows.
+        spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
         shared = spark.conf.get("spark.checkpoint.dir", None)
         self._private = path is None
         self._local = tempfile.TemporaryDirectory(prefix="quarry-") if path is None and not shared else None
@@ -140,7 +143,16 @@ class Engine:
         self._store: Store | None = None
         self._views: dict[str, Source] = {}
         self._transaction: Transaction | None = None
+        self._marks: list[tuple[str, tuple, bool]] = []
         self._runtime = False
+        self._own: dict[str, Callable[..., Expr]] = {
+            "changes": lambda: literal(self.changes),
+            "total_changes": lambda: literal(self.total_changes),
+            "last_insert_rowid": lambda: literal(self.last_insert_rowid),
+            "likely": lambda x: x,
+            "unlikely": lambda x: x,
+            "likelihood": lambda x, p: x,
+        }
         self.changes = 0
         self.total_changes = 0
         self.last_insert_rowid = 0
@@ -166,12 +178,10 @@ class Engine:
 
     def register_function(self, function_name: str, function: Callable, returns: str = "double") -> Engine:
         """A Python function for SQL text. It should be a pandas_udf; a plain function runs row by row."""
-        from quarry.functions.base import MANY, TABLE
-        from quarry.values import Expr
-
-        self.spark.udf.register(function_name, function, *(() if hasattr(function, "returnType") else (returns,)))
+        known = f"quarry_fn_{id(self)}_{function_name}"
+        self.spark.udf.register(known, function, *(() if hasattr(function, "returnType") else (returns,)))
         kind = kind_of(function.returnType if hasattr(function, "returnType") else self.spark.createDataFrame([], f"x {returns}").schema[0].dataType)
-        TABLE[function_name.lower()] = (0, MANY, lambda *args: Expr(f"{function_name}({', '.join(a.sql for a in args)})", kind))
+        self._own[function_name.lower()] = lambda *args: Expr(f"`{known}`({', '.join(a.sql for a in args)})", kind)
         return self
 
     def _source(self, table: str) -> Source:
@@ -204,8 +214,27 @@ class Engine:
             q = q.query
         if q.kind != "query":
             raise ParseError("not a query")
-        low = Lowering(self._source, params if isinstance(params, dict) else list(params or []))
-        return self._ready(low.query(q)[0])
+        return self._ready(self._lowering(params).query(q)[0])
+
+    def _lowering(self, params) -> Lowering:
+        return Lowering(self._source, params if isinstance(params, dict) else list(params or []), self._own, self._fixpoint)
+
+    def _fixpoint(self, first: str, step: Callable[[Source], str], columns: list[tuple[str, str]]) -> Source:
+        """All rows that a first query and steps over the rows just found give, each once. The steps run now; each one's new
+        rows are written, so no plan grows with the number of steps."""
+        folder, names = f"{self._path}/recursion-{uuid.uuid4().hex}", [n for n, _ in columns]
+        found: list[DataFrame] = []
+        new = self.spark.sql(self._ready(first)).toDF(*names).distinct()
+        while True:
+            path = f"{folder}/{len(found)}"
+            new.write.parquet(path)
+            new = self.spark.read.schema(new.schema).parquet(path)
+            every = self.spark.read.schema(new.schema).parquet(*[f"{folder}/{i}" for i in range(len(found) + 1)])
+            if new.isEmpty():
+                return Source(_view(every), columns)
+            found.append(new)
+            more = self.spark.sql(self._ready(step(Source(_view(new), columns)))).toDF(*names)
+            new = more.subtract(every)
 
     def _ready(self, sql: str) -> str:
         """Registers the run-time functions where a text uses them."""
@@ -270,7 +299,7 @@ class Engine:
             self._pragma(n)
             return 0
         if n.kind == "transaction":
-            return self._transact(n.word)
+            return self._transact(n.word, n.mark)
         if self._transaction is not None:
             return self._write(self._transaction, n, sql, params)
         with self.begin() as t:
@@ -279,8 +308,7 @@ class Engine:
     def _write(self, t: Transaction, n: Node, sql: str, params) -> int:
         previous, self._transaction = self._transaction, t  # subqueries of a statement see the transaction's tables
         try:
-            lowering = Lowering(self._source, params if isinstance(params, dict) else list(params or []))
-            changed, rowid = t.apply(n, sql, lowering)
+            changed, rowid = t.apply(n, sql, self._lowering(params))
         finally:
             self._transaction = previous
         if n.kind in ("insert", "update", "delete"):
@@ -292,12 +320,28 @@ class Engine:
     def begin(self) -> Transaction:
         return self.store.begin(self)
 
-    def _transact(self, word: str) -> int:
+    def _transact(self, word: str, mark: str | None = None) -> int:
+        """BEGIN, COMMIT, ROLLBACK and savepoints. A savepoint outside a transaction begins one that ends with its release."""
         if word in ("begin", "savepoint"):
-            if self._transaction is None:
-                self._transaction = self.begin()
+            fresh = self._transaction is None
+            if fresh:
+                self._transaction, self._marks = self.begin(), []
+            if word == "savepoint":
+                self._marks.append((mark.lower(), self._transaction.state(), fresh))
+        elif word in ("release", "rollback to"):
+            places = [i for i, (m, _, _) in enumerate(self._marks) if m == mark.lower()] if self._transaction is not None else []
+            if not places:
+                raise NotFound(f"no such savepoint: {mark}")
+            _, state, first = self._marks[places[-1]]
+            if word == "rollback to":
+                self._transaction.restore(state)
+                del self._marks[places[-1] + 1 :]
+            else:
+                del self._marks[places[-1] :]
+                if first:
+                    return self._transact("commit")
         elif self._transaction is not None:
-            t, self._transaction = self._transaction, None
+            t, self._transaction, self._marks = self._transaction, None, []
             if word == "rollback":
                 t.rollback()
             else:

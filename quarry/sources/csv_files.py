@@ -28,7 +28,7 @@ def import_csv(engine, path: str, table: str) -> int:
         rows = raw.withColumn("_seq", F.monotonically_increasing_id()).select(
             "_seq", *[(F.col(name(given[c.name.lower()])) if c.name.lower() in given else _default(c)).cast(SPARK_TYPE[c.kind]).alias(c.name) for c in target.columns]
         )
-        count, _ = t._append(target, rows, replace=False)
+        count, _ = t._append(target, rows, "abort", engine._lowering([]))
     return count
 
 

@@ -10,16 +10,19 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quarry.errors import ConstraintError, NotFound, SchemaError, StorageError, Unsupported
 from quarry.sql.ast import Node
 from quarry.sql.lower import Lowering, Relation, Scope
+from quarry.sql.parser import parse_expression
 from quarry.store.files import Files
 from quarry.values import SPARK_TYPE, SQL_TYPE, affinity, as_kind, literal, name, truth
 
@@ -52,6 +55,7 @@ class Table:
     parts: list[Part] = field(default_factory=list)
     keys: list[list[str]] = field(default_factory=list)
     last_rowid: int = 0
+    checks: list[str] = field(default_factory=list)  # texts of CHECK conditions
 
     def column(self, wanted: str) -> Column:
         for c in self.columns:
@@ -66,7 +70,7 @@ class Table:
         return found[0] if len(found) == 1 and not any(len(k) > 1 and k[0] == found[0] for k in self.keys) else None
 
     def copy(self) -> Table:
-        return Table(self.name, self.sql, list(self.columns), list(self.parts), [list(k) for k in self.keys], self.last_rowid)
+        return Table(self.name, self.sql, list(self.columns), list(self.parts), [list(k) for k in self.keys], self.last_rowid, list(self.checks))
 
 
 class Snapshot:
@@ -90,19 +94,20 @@ class Snapshot:
         rows = [("table", t.name, t.name, t.sql) for t in self.tables.values()] + [("index", i["name"], i["table"], i["sql"]) for i in self.indexes.values()]
         return self.store.spark.createDataFrame(rows, "type string, name string, tbl_name string, sql string")
 
-    def read(self, table: str) -> DataFrame:
-        """_rowid_ and the columns of a table."""
+    def read(self, table: str, parts: list[Part] | None = None, located: bool = False) -> DataFrame:
+        """_rowid_ and the columns of a table or of some of its parts; with located, also _part, the folder a row lies in."""
         t, spark = self.table(table), self.store.spark
         schema = StructType([StructField(ROWID, LongType()), *(StructField(c.name, SPARK_TYPE[c.kind]) for c in t.columns)])
         by_columns: dict[tuple[str, ...], list[str]] = {}
-        for p in t.parts:
+        place = [F.regexp_extract(F.input_file_name(), "data/[0-9a-f]{32}", 0).alias("_part")] if located else []
+        for p in t.parts if parts is None else parts:
             by_columns.setdefault(tuple(p.columns), []).append(self.store.files.full(p.path))
         frames = []
         for held, paths in by_columns.items():
             df = spark.read.schema(StructType([f for f in schema if f.name == ROWID or f.name in held])).parquet(*paths)
-            frames.append(df.select(ROWID, *[F.col(name(c.name)) if c.name in held else F.lit(_constant(c)).cast(SPARK_TYPE[c.kind]).alias(c.name) for c in t.columns]))
+            frames.append(df.select(ROWID, *[F.col(name(c.name)) if c.name in held else F.lit(_constant(c)).cast(SPARK_TYPE[c.kind]).alias(c.name) for c in t.columns], *place))
         if not frames:
-            return spark.createDataFrame([], schema)
+            return spark.createDataFrame([], StructType([*schema, *([StructField("_part", StringType())] if located else [])]))
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)
@@ -127,7 +132,7 @@ class Store:
         raw = json.loads(self.files.read(f"manifest-{versions[-1]}.json"))
         tables = {}
         for k, t in raw["tables"].items():
-            tables[k] = Table(t["name"], t["sql"], [Column(**c) for c in t["columns"]], [Part(**p) for p in t["parts"]], t["keys"], t["last_rowid"])
+            tables[k] = Table(t["name"], t["sql"], [Column(**c) for c in t["columns"]], [Part(**p) for p in t["parts"]], t["keys"], t["last_rowid"], t.get("checks", []))
         return Snapshot(self, versions[-1], tables, raw["indexes"], raw["user_version"])
 
     def begin(self, engine=None) -> Transaction:
@@ -154,7 +159,7 @@ class Transaction(Snapshot):
 
     def __init__(self, store: Store, version: int, tables: dict[str, Table], indexes: dict[str, dict], user_version: int):
         super().__init__(store, version, tables, indexes, user_version)
-        self._open, self._written = True, []
+        self._open, self._written, self._drafts = True, [], []
 
     def __enter__(self) -> Transaction:
         return self
@@ -169,8 +174,18 @@ class Transaction(Snapshot):
         if not self.store.files.create(f"manifest-{self.version + 1}.json", json.dumps(raw)):
             self._discard()
             raise StorageError("another writer has committed since this transaction began")
+        for p in self._drafts:
+            self.store.files.delete(p)
         return self.version + 1
 
+    def state(self) -> tuple:
+        """What a savepoint keeps: data files are never changed, so the lists of them are enough."""
+        return {k: t.copy() for k, t in self.tables.items()}, dict(self.indexes), self.user_version
+
+    def restore(self, state: tuple) -> None:
+        tables, indexes, self.user_version = state
+        self.tables, self.indexes = {k: t.copy() for k, t in tables.items()}, dict(indexes)
+
     def rollback(self) -> None:
         self._close()
         self._discard()
@@ -181,7 +196,7 @@ class Transaction(Snapshot):
         self._open = False
 
     def _discard(self) -> None:
-        for p in self._written:
+        for p in [*self._written, *self._drafts]:
             self.store.files.delete(p)
 
     # -- statements ---------------------------------------------------------------------------------------------------
@@ -211,7 +226,9 @@ class Transaction(Snapshot):
                 setattr(found[0], "primary" if kind == "primary" else "unique", True)
             else:
                 keys.append([c.name for c in found])
-        self.tables[n.name.lower()] = Table(n.name, sql, columns, [], keys)
+        for text in n.checks:  # names must be known now, not at the first insert
+            low.expr(parse_expression(text), _scope(Table(n.name, sql, columns)))
+        self.tables[n.name.lower()] = Table(n.name, sql, columns, [], keys, 0, n.checks)
         return 0, None
 
     @staticmethod
@@ -259,6 +276,9 @@ class Transaction(Snapshot):
         if c.not_null and c.default is None:
             raise SchemaError("cannot add a NOT NULL column with default value NULL")
         table.columns.append(c)
+        table.checks += n.checks
+        if n.checks and table.parts:
+            self._check_rules(table, self.read(table.name), low)
         table.sql = f"{table.sql.rstrip().removesuffix(')')}, {c.name} {c.declared}{f' DEFAULT {c.default_text}' if c.default_text else ''})"
         return 0, None
 
@@ -277,24 +297,33 @@ class Transaction(Snapshot):
                 raise SchemaError(f"{len(named)} values are needed for {table.name}")
             raw, given = self._rows(n.rows, named, low)
         new = raw.select("_seq", *[(given[c.name] if c.name in given else _default(c)).cast(SPARK_TYPE[c.kind]).alias(c.name) for c in table.columns])
-        return self._append(table, new, n.replace)
+        return self._append(table, new, n.conflict, low)
 
     def _rows(self, rows: list[list[Node]], named: list[Column], low: Lowering):
-        """VALUES as one local relation: literals in Python, anything else through Spark."""
-        lines = []
+        """VALUES as one inline relation of the rows of literals in their columns' kinds, and a SELECT for each other row."""
+        inline, other = [], []
         for i, r in enumerate(rows):
             cells = [low.expr(e, Scope([])) for e in r]
-            lines.append(", ".join([f"{i}L AS _seq", *(f"{_converted(e.sql, e.kind, c)} AS {name(f'c_{c.name}')}" for e, c in zip(cells, named, strict=True))]))
-        df = self.store.spark.sql(" UNION ALL ".join(f"SELECT {line}" for line in lines))
-        return df, {c.name: F.col(name(f"c_{c.name}")) for c in named}
-
-    def _append(self, table: Table, new: DataFrame, replace: bool):
-        """Numbers new rows, checks them, and adds them as one part."""
+            converted = [f"{i}L", *(f"CAST({_converted(e.sql, e.kind, c)} AS {SQL_TYPE[c.kind]})" for e, c in zip(cells, named, strict=True))]
+            plain = all(e.literal and (e.kind in (c.kind, "null") or (e.kind, c.kind) == ("int", "real")) for e, c in zip(cells, named, strict=True))
+            (inline if plain else other).append(", ".join(converted))
+        names = ", ".join(["_seq", *(name(f"c_{c.name}") for c in named)])
+        parts = [f"SELECT * FROM VALUES {', '.join(f'({line})' for line in inline)} AS v({names})"] if inline else []
+        parts += [f"SELECT * FROM (SELECT {line}) AS v({names})" for line in other]
+        return self.store.spark.sql(" UNION ALL ".join(parts)), {c.name: F.col(name(f"c_{c.name}")) for c in named}
+
+    def _append(self, table: Table, new: DataFrame, conflict: str, low: Lowering):
+        """Numbers new rows, checks them, and adds them as one part.
+
+        conflict says what becomes of a row whose key is taken: abort (all fails), replace (the old row goes; of new ones
+        the last stays), ignore (the row is left out; of new ones the first stays, and rows with a NULL where there must
+        be none are left out too).
+        """
         spark, alias = self.store.spark, table.alias
         path = self._new_path()
         draft = f"{path}-draft"
         last = table.last_rowid
-        self._written.append(draft)
+        self._drafts.append(draft)
         new.write.parquet(self.store.files.full(draft))
         written = spark.read.schema(new.schema).parquet(self.store.files.full(draft))
         # _seq is a partition's number and a row's place in it, so rows are numbered by their partition's offset: one count
@@ -308,8 +337,22 @@ class Transaction(Snapshot):
         written = numbered.withColumn(ROWID, F.coalesce(F.col(name(alias)), F.col("_next")) if alias else F.col("_next")).drop("_p", "_first", "_before", "_next")
         if alias:
             written = written.withColumn(alias, F.col(ROWID))
+        if conflict == "ignore":
+            for c in table.columns:
+                if c.not_null:
+                    written = written.where(F.col(name(c.name)).isNotNull())
         self._check_nulls(table, written)
-        old = self.read(table.name)
+        self._check_rules(table, written.drop("_seq"), low)
+        old, replace = self.read(table.name), conflict == "replace"
+        if conflict == "ignore":
+            for key in self._keys(table):
+                columns = [name(k) for k in key]
+                if table.parts:
+                    written = written.join(old.select(*columns).dropna(), key, "left_anti").select(*written.columns)
+            for key in self._keys(table):
+                first = Window.partitionBy(*[name(k) for k in key]).orderBy("_seq")
+                none = F.greatest(*[F.col(name(k)).isNull().cast("int") for k in key], F.lit(0)) == 1
+                written = written.withColumn("_r", F.row_number().over(first)).where((F.col("_r") == 1) | none).drop("_r")
         if replace:
             for key in self._keys(table):
                 # Of new rows with one key the last stays; old rows with a new row's key go.
@@ -325,7 +368,7 @@ class Transaction(Snapshot):
             table.last_rowid = max(last, body.agg(F.max(ROWID)).first()[0] or 0)
             self.rewrite(table, old.unionByName(body))
         else:
-            if keys:
+            if keys and conflict == "abort":
                 self._check_unique(table, old.unionByName(body) if table.parts else body, body)
             self._put(table, body, path)
             top = body.agg(F.max(ROWID)).first()[0]
@@ -348,18 +391,25 @@ class Transaction(Snapshot):
     def _new_path() -> str:
         return f"data/{uuid.uuid4().hex}"
 
-    def _located(self, table: Table, low: Lowering) -> tuple[DataFrame, Scope, str]:
-        df = self.read(table.name)
-        view = f"quarry_dml_{uuid.uuid4().hex}"
-        df.createOrReplaceTempView(view)
-        return df, Scope([Relation(table.name, [(c.name, c.kind) for c in table.columns], True)]), view
+    def _hits(self, table: Table, where: str) -> dict[str, int]:
+        """Parts that hold rows of a condition, with their numbers: a pass over the columns it names, one row a part to the driver."""
+        df = self.read(table.name, located=True)
+        with _view(df) as view:
+            rows = self.store.spark.sql(f"SELECT _part, count(*) AS n FROM {view} AS {name(table.name)} WHERE {where} GROUP BY _part").collect()
+        return {r["_part"]: r["n"] for r in rows}
 
     def _update(self, n: Node, sql: str, low: Lowering):
         table = self.table(n.table)
-        _, scope, view = self._located(table, low)
+        scope = _scope(table)
         where = truth(low.expr(n.where, scope)) if n.where is not None else "true"
+        hits = self._hits(table, where)
+        if not hits:
+            return 0, None
+        touched_parts, others = [p for p in table.parts if p.path in hits], [p for p in table.parts if p.path not in hits]
         sets = {table.column(c).name: (low.expr(e, scope), table.column(c)) for c, e in n.sets}
         # The condition is computed once as a column; assignments all see the row as it was.
+        view = f"quarry_dml_{uuid.uuid4().hex}"
+        self.read(table.name, touched_parts).createOrReplaceTempView(view)
         base = f"SELECT *, coalesce({where}, false) AS _hit FROM {view} AS {name(table.name)}"
         hit = f"{name(table.name)}._hit"
         items = [f"CASE WHEN {hit} THEN {_converted(sets[c.name][0].sql, sets[c.name][0].kind, c)} ELSE {name(table.name)}.{name(c.name)} END AS {name(c.name)}" if c.name in sets else f"{name(table.name)}.{name(c.name)}" for c in table.columns]
@@ -369,33 +419,38 @@ class Transaction(Snapshot):
         df = self.store.spark.sql(f"SELECT {rowid} AS `{ROWID}`, {', '.join(items)}, _hit FROM ({base}) AS {name(table.name)}")
         path = self._new_path()
         df.write.parquet(self.store.files.full(path))
+        self.store.spark.catalog.dropTempView(view)
         self._written.append(path)
         new = self.store.spark.read.schema(df.schema).parquet(self.store.files.full(path))
-        count = new.where("_hit").count()
-        if not count:
-            return 0, None
+        count = sum(hits.values())
         self._check_nulls(table, new.where("_hit"))
+        self._check_rules(table, new.where("_hit").drop("_hit"), low)
         touched = [k for k in self._keys(table) if any(c in sets for c in k)]
+        every = new.drop("_hit").unionByName(self.read(table.name, others)) if others else new
         for key in touched:
-            self._check_key(table, new, key)
-        table.parts = [Part(path, [c.name for c in table.columns])]
+            self._check_key(table, every, key)
+        table.parts = [*others, Part(path, [c.name for c in table.columns])]
         if table.alias in sets:
             table.last_rowid = max(table.last_rowid, new.agg(F.max(ROWID)).first()[0] or 0)
         return count, None
 
     def _delete(self, n: Node, sql: str, low: Lowering):
         table = self.table(n.table)
-        df, scope, view = self._located(table, low)
-        before = df.count()
-        if n.where is None:
-            table.parts, kept = [], 0
-        else:
-            rest = self.store.spark.sql(f"SELECT * FROM {view} AS {name(table.name)} WHERE NOT coalesce({truth(low.expr(n.where, scope))}, false)")
-            self.rewrite(table, rest)
-            kept = self.read(table.name).count()
+        where = truth(low.expr(n.where, _scope(table))) if n.where is not None else "true"
+        hits = self._hits(table, where)
+        if not hits:
+            return 0, None
+        others = [p for p in table.parts if p.path not in hits]
+        if n.where is not None:
+            with _view(self.read(table.name, [p for p in table.parts if p.path in hits])) as view:
+                path = self._new_path()
+                self.store.spark.sql(f"SELECT * FROM {view} AS {name(table.name)} WHERE NOT coalesce({where}, false)").write.parquet(self.store.files.full(path))
+            self._written.append(path)
+            others.append(Part(path, [c.name for c in table.columns]))
+        table.parts = others
         top = self.read(table.name).agg(F.max(ROWID)).first()[0]
         table.last_rowid = top or 0
-        return before - kept, None
+        return sum(hits.values()), None
 
     # -- constraints --------------------------------------------------------------------------------------------------
 
@@ -412,6 +467,18 @@ class Transaction(Snapshot):
                 if found[c]:
                     raise ConstraintError(f"NOT NULL constraint failed: {table.name}.{c}")
 
+    def _check_rules(self, table: Table, rows: DataFrame, low: Lowering) -> None:
+        """CHECK conditions: a row for which one is false is refused; NULL passes."""
+        if not table.checks:
+            return
+        scope = _scope(table)
+        with _view(rows) as view:
+            tests = ", ".join(f"count_if(NOT {truth(low.expr(parse_expression(text), scope))})" for text in table.checks)
+            found = self.store.spark.sql(f"SELECT {tests} FROM {view} AS {name(table.name)}").first()
+        for text, bad in zip(table.checks, found, strict=True):
+            if bad:
+                raise ConstraintError(f"CHECK constraint failed: {text}")
+
     def _check_unique(self, table: Table, rows: DataFrame, new: DataFrame) -> None:
         for key in self._keys(table):
             wanted = new.select(*[name(k) for k in key]).dropna().distinct()
@@ -423,6 +490,21 @@ class Transaction(Snapshot):
             raise ConstraintError(f"UNIQUE constraint failed: {', '.join(f'{table.name}.{k}' for k in key)}")
 
 
+def _scope(table: Table) -> Scope:
+    return Scope([Relation(table.name, [(c.name, c.kind) for c in table.columns], True)])
+
+
+@contextmanager
+def _view(df: DataFrame) -> Iterator[str]:
+    """A temporary view that is dropped when the statement is over."""
+    view = f"quarry_dml_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    try:
+        yield view
+    finally:
+        df.sparkSession.catalog.dropTempView(view)
+
+
 def _converted(sql: str, kind: str, c: Column) -> str:
     """A value on its way into a column: what can't become the column's kind is an error, not another kind."""
     from quarry.values import Expr

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.errors import Ambiguous, NotFound, ParseError, SchemaError, Unsupported
+from quarry.errors import Ambiguous, ConstraintError, NotFound, ParseError, SchemaError, Unsupported
 from quarry.functions.strings import glob_pattern
 from quarry.values import affinity
 
@@ -162,3 +162,69 @@ def test_pushdown_and_pruning(engine, sf_dir):
 
 def test_affinity():
     assert [affinity(d) for d in ("BIGINT", "VARCHAR(10)", "CLOB", "BLOB", "", "DOUBLE PRECISION", "BOOLEAN", "JSON", "DECIMAL(10,2)", "DATE")] == ["int", "text", "text", "blob", "text", "real", "bool", "text", "real", "text"]
+
+
+def test_savepoints(engine):
+    engine.execute("CREATE TABLE s (x INTEGER); SAVEPOINT a; INSERT INTO s VALUES (1); SAVEPOINT b; INSERT INTO s VALUES (2); ROLLBACK TO b")
+    assert engine.in_transaction and [r.x for r in engine.sql("SELECT x FROM s").collect()] == [1]
+    engine.execute("INSERT INTO s VALUES (3); ROLLBACK TRANSACTION TO SAVEPOINT b; RELEASE b; RELEASE SAVEPOINT a")
+    assert not engine.in_transaction and [r.x for r in engine.sql("SELECT x FROM s").collect()] == [1]
+    engine.execute("BEGIN IMMEDIATE; SAVEPOINT c; DELETE FROM s; RELEASE c")
+    assert engine.in_transaction
+    engine.execute("ROLLBACK")
+    assert engine.sql("SELECT x FROM s").count() == 1
+    for text in ("ROLLBACK TO c", "RELEASE c"):
+        with pytest.raises(NotFound):
+            engine.execute(text)
+
+
+def test_checks(engine):
+    engine.execute("CREATE TABLE k (a INTEGER CHECK (a > 0), b INTEGER, CHECK (a < b))")
+    engine.execute("INSERT INTO k VALUES (1, 2), (NULL, 1), (3, NULL)")
+    for text in ("INSERT INTO k VALUES (0, 5)", "INSERT INTO k VALUES (9, 5)", "UPDATE k SET b = 0 WHERE a = 1"):
+        with pytest.raises(ConstraintError, match="CHECK"):
+            engine.execute(text)
+    assert engine.sql("SELECT * FROM k").count() == 3
+    with pytest.raises(NotFound):
+        engine.execute("CREATE TABLE bad (a INTEGER CHECK (nope > 0))")
+
+
+def test_what_is_not_there_is_refused(engine):
+    engine.execute("CREATE TABLE r (a INTEGER PRIMARY KEY, b TEXT)")
+    for text in ("INSERT OR FAIL INTO r VALUES (1, 'x')", "CREATE TABLE c (a TEXT COLLATE NOCASE)"):
+        with pytest.raises(Unsupported):
+            engine.execute(text)
+    with pytest.raises(NotFound, match="collation"):
+        engine.sql("SELECT 'a' COLLATE nope = 'b'")
+    with pytest.raises(Unsupported):
+        engine.sql("WITH RECURSIVE s(i) AS (SELECT 1 UNION SELECT i + 1 FROM s LIMIT 3) SELECT * FROM s")
+
+
+def test_range_joins_need_no_nested_loop(engine, spark):
+    import random
+
+    r = random.Random(4)
+    points = [(i, r.choice([None, r.uniform(-50, 50), float(r.randint(-50, 50))])) for i in range(300)]
+    spans = [(i, None if i == 7 else float(a), float(a + r.choice([0, 0.5, 3, 40, -2]))) for i, a in enumerate(r.randint(-60, 60) for _ in range(80))]
+    engine.register("points", spark.createDataFrame(points, "p long, v double")).register("spans", spark.createDataFrame(spans, "s long, lo double, hi double"))
+    for on, fits in (("v >= lo AND v < hi", lambda v, a, b: a <= v < b), ("v BETWEEN lo AND hi", lambda v, a, b: a <= v <= b), ("hi > v AND lo < v AND p <> s", lambda v, a, b: a < v < b)):
+        inner = sorted((p, s) for p, v in points for s, a, b in spans if v is not None and a is not None and fits(v, a, b) and not ("<>" in on and p == s))
+        text = f"SELECT p, s FROM points JOIN spans ON {on}"
+        df = engine.sql(text)
+        assert sorted(map(tuple, df.collect())) == inner and inner
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in df._jdf.queryExecution().executedPlan().toString()
+        left = sorted([*inner, *((p, None) for p, _ in points if p not in {x for x, _ in inner})], key=str)
+        for text in (f"SELECT p, s FROM points LEFT JOIN spans ON {on}", f"SELECT p, s FROM spans RIGHT JOIN points ON {on}"):
+            assert sorted(map(tuple, engine.sql(text).collect()), key=str) == left
+    kept = {s for s, _, _ in spans} - {s for _, s in inner}
+    assert {r.s for r in engine.sql(f"SELECT s FROM spans LEFT JOIN points ON {on} WHERE p IS NULL").collect()} == kept
+
+
+def test_functions_belong_to_one_engine(engine, spark):
+    from quarry.session import Engine
+
+    with Engine(spark) as other:
+        other.register_function("twice", lambda x: 2 * x, "bigint")
+        assert other.sql("SELECT twice(4) AS x").first().x == 8
+    with pytest.raises(NotFound):
+        engine.sql("SELECT twice(4)")

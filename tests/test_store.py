@@ -183,3 +183,49 @@ def test_pool(spark, tmp_path):
         assert list(threads.map(lambda i: pool.execute("INSERT INTO t (who) VALUES (?)", [i]), range(6))) == [1] * 6
     with pool.acquire() as own:
         assert own.sql("SELECT count(*), count(DISTINCT id), sum(who) FROM t").first()[:] == (6, 6, 15)
+
+
+def test_a_writer_that_dies_before_its_commit(spark, tmp_path, monkeypatch):
+    """Data files without a manifest change nothing: the store opens at the last commit, and the next writer goes on."""
+    path = f"file://{tmp_path}/store"
+    first = Engine(spark, path)
+    first.execute("CREATE TABLE big (k INTEGER PRIMARY KEY, v TEXT)")
+    first.register("numbers", spark.range(2000).withColumnRenamed("id", "n"))
+    first.execute("INSERT INTO big SELECT n, 'row-' || n FROM numbers")
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(type(first.store.files), "create", die)
+        m.setattr("quarry.store.store.Transaction._discard", lambda self: None)
+        with pytest.raises(KeyboardInterrupt):
+            first.execute("DELETE FROM big WHERE k < 1500")
+    second = Engine(spark, path)
+    assert rows(second, "SELECT count(*), min(k), max(k) FROM big") == [(2000, 0, 1999)]
+    left = len(second.store.files.names("data"))
+    second.execute("UPDATE big SET v = 'new' WHERE k = 7; INSERT INTO big VALUES (5000, 'more')")
+    second.checkpoint()
+    assert rows(Engine(spark, path), "SELECT count(*), max(k) FROM big WHERE v IN ('new', 'more')") == [(2, 5000)]
+    assert len(second.store.files.names("data")) == 1 < left
+
+
+def test_only_parts_with_hits_are_rewritten(engine):
+    engine.execute("CREATE TABLE p (k INTEGER PRIMARY KEY, v INTEGER UNIQUE)")
+    for i in range(4):
+        engine.execute("INSERT INTO p VALUES (?, ?)", [i, 10 * i])
+    before = {p.path for p in engine.store.snapshot().table("p").parts}
+    assert engine.execute("UPDATE p SET v = 5 WHERE k = 99") == 0 and engine.execute("DELETE FROM p WHERE v = 7") == 0
+    assert {p.path for p in engine.store.snapshot().table("p").parts} == before == {f"data/{n}" for n in engine.store.files.names("data")}
+    assert engine.execute("UPDATE p SET v = v + 1 WHERE k = 2") == 1 and engine.execute("DELETE FROM p WHERE k = 0") == 1
+    assert len(before & {p.path for p in engine.store.snapshot().table("p").parts}) == 2
+    with pytest.raises(ConstraintError):
+        engine.execute("UPDATE p SET v = 30 WHERE k = 1")  # the other part holds it
+    assert rows(engine, "SELECT k, v FROM p ORDER BY k") == [(1, 10), (2, 21), (3, 30)]
+
+
+def test_many_values(engine):
+    engine.execute("CREATE TABLE m (a INTEGER, b TEXT, c REAL)")
+    many = ", ".join(f"({i}, {'NULL' if i % 7 == 0 else repr(str(i))}, {i}.5)" for i in range(3000))
+    assert engine.execute(f"INSERT INTO m VALUES {many}, (1 + 2, upper('x'), (SELECT max(1.25)))") == 3001
+    assert rows(engine, "SELECT count(*), count(b), sum(a) FROM m") == [(3001, 3001 - 429, 3000 * 2999 // 2 + 3)]
