@@ -108,12 +108,31 @@ _add("agg_filter", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25)
 
 # -- sort, limit, distinct, set operations, CTEs ------------------------------------------------------------------------
 _add("order_multi", "SELECT n_regionkey, n_name FROM nation ORDER BY n_regionkey DESC, n_name LIMIT 9", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, n_name FROM nation ORDER BY n_regionkey DESC, n_name LIMIT 9")
-_add("order_nulls", "SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY l.quality, d.doc_id LIMIT 700", "SELECT d.doc_id, CAST(l.quality AS BIGINT) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id LIMIT 700")
-_add("order_nulls_last", "SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY l.quality NULLS LAST, d.doc_id LIMIT 300", "SELECT d.doc_id, CAST(l.quality AS BIGINT) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY l.quality NULLS LAST, d.doc_id LIMIT 300")
-_add("order_ordinal", "SELECT c_name, c_acctbal FROM customer ORDER BY 2 DESC, 1 LIMIT 20")
-_add("order_alias", "SELECT c_custkey, c_acctbal * 2 AS twice FROM customer ORDER BY twice, c_custkey LIMIT 20")
-_add("order_base", "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
-_add("order_shadow", "SELECT c_custkey, -c_acctbal AS c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20", "SELECT c_custkey, -b AS c_acctbal FROM (SELECT c_custkey, c_acctbal AS b FROM customer) ORDER BY b, c_custkey LIMIT 20")
+_add(
+    "bare_columns",
+    "SELECT c_mktsegment, c_nationkey, c_name, count(*) AS n FROM customer GROUP BY c_mktsegment",
+    "SELECT c_mktsegment, CAST(s.a AS BIGINT) AS c_nationkey, s.b AS c_name, n FROM (SELECT c_mktsegment, min({'a': c_nationkey, 'b': c_name}) AS s, count(*) AS n FROM customer GROUP BY c_mktsegment)",
+)
+_add("distinct_aggregate", "SELECT DISTINCT count(*) AS n FROM customer GROUP BY c_nationkey")
+_add("collate_nocase", "SELECT p_partkey FROM part WHERE p_brand = 'bRAND#13' COLLATE NOCASE OR p_type COLLATE NOCASE IN ('x', 'PROMO BRUSHED TIN')", "SELECT p_partkey FROM part WHERE lower(p_brand) = 'brand#13' OR lower(p_type) = 'promo brushed tin'")
+_add("collate_group", "SELECT upper(min(p_brand)) AS b, count(*) AS n FROM part GROUP BY p_brand COLLATE NOCASE", "SELECT upper(min(p_brand)) AS b, count(*) AS n FROM part GROUP BY lower(p_brand)")
+_add("smallest_long", "SELECT n_nationkey, -9223372036854775808 + n_nationkey AS v FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST('-9223372036854775808' AS BIGINT) + n_nationkey AS v FROM nation")
+_add("cast_blob", "SELECT p_partkey, hex(CAST(p_name AS BLOB)) AS h, length(CAST(p_name AS BLOB)) AS n FROM part", "SELECT p_partkey, hex(p_name) AS h, CAST(strlen(p_name) AS BIGINT) AS n FROM part")
+_add("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", "SELECT CAST(c_nationkey AS BIGINT) AS k FROM customer INTERSECT ALL SELECT CAST(s_nationkey AS BIGINT) FROM supplier")
+_add("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", "SELECT CAST(c_nationkey AS BIGINT) AS k FROM customer EXCEPT ALL SELECT CAST(s_nationkey AS BIGINT) FROM supplier")
+_add("join_natural", "SELECT doc_id, lang, quality FROM documents NATURAL JOIN labels", "SELECT doc_id, lang, CAST(quality AS BIGINT) AS quality FROM documents NATURAL JOIN labels")
+_add("join_range_left", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_acctbal BETWEEN n_nationkey * 300 AND n_nationkey * 300 + 100")
+_add("join_range_tree", "SELECT s_suppkey, a.n_name AS home, b.n_name AS other FROM supplier JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON s_acctbal > b.n_nationkey * 250 AND b.n_nationkey * 250 + 400 >= s_acctbal")
+_add("dt_utc", "SELECT o_orderkey, datetime(o_orderdate, 'utc') AS u, datetime(o_orderdate, 'localtime') AS l FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS u, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS l FROM orders")
+_add("likely", "SELECT n_name FROM nation WHERE likely(n_regionkey = 1) OR unlikely(n_nationkey = 3)", "SELECT n_name FROM nation WHERE n_regionkey = 1 OR n_nationkey = 3")
+_add("cte_recursive_deep", "WITH RECURSIVE s(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM s WHERE i < 400) SELECT count(*) AS n, max(i) AS top, sum(i) AS total FROM s", "SELECT CAST(400 AS BIGINT) AS n, CAST(400 AS BIGINT) AS top, CAST(80200 AS BIGINT) AS total")
+_add("cte_recursive_union", "WITH RECURSIVE r(x) AS (SELECT 0 UNION SELECT (x * 7 + 3) % 25 FROM r) SELECT n_name FROM nation WHERE n_nationkey IN (SELECT x FROM r)", "WITH RECURSIVE r(x) AS (SELECT 0 UNION SELECT (x * 7 + 3) % 25 FROM r) SELECT n_name FROM nation WHERE n_nationkey IN (SELECT x FROM r)")
+_add("order_nulls", "SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY l.quality, d.doc_id", "SELECT d.doc_id, CAST(l.quality AS BIGINT) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id")
+_add("order_nulls_last", "SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY l.quality NULLS LAST, d.doc_id", "SELECT d.doc_id, CAST(l.quality AS BIGINT) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY l.quality NULLS LAST, d.doc_id")
+_add("order_ordinal", "SELECT c_name, c_acctbal FROM customer ORDER BY 2 DESC, 1")
+_add("order_alias", "SELECT c_custkey, c_acctbal * 2 AS twice FROM customer ORDER BY twice, c_custkey")
+_add("order_base", "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey")
+_add("order_shadow", "SELECT c_custkey, -c_acctbal AS c_acctbal FROM customer ORDER BY c_acctbal, c_custkey", "SELECT c_custkey, -b AS c_acctbal FROM (SELECT c_custkey, c_acctbal AS b FROM customer) ORDER BY b, c_custkey")
 _add("limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 17")
 _add("offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
 _add("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 50", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 50")
