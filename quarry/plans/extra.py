@@ -38,7 +38,10 @@ def _shared(spark: SparkSession) -> str:
 
 def source_sqlite_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written to a SQLite file, read back in ranges of rowids."""
-    path = str(_folder() / "nation.db")
+    folder = _shared(spark)
+    if folder.startswith("file:"):  # a SQLite file needs a folder that is mounted everywhere
+        Path(folder[5:]).mkdir(parents=True, exist_ok=True)
+    path = str(Path(folder[5:] if folder.startswith("file:") else _folder()) / "nation.db")
     write_sqlite(Engine(spark).register_parquet(sf_dir, "nation").sql("SELECT n_nationkey, n_name FROM nation"), path, "nation", primary="n_nationkey")
     engine = Engine(spark)
     attach(engine, path, partitions=3)

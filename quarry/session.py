@@ -9,13 +9,14 @@ import types
 import typing
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.errors import NotFound, ParseError, TypeMismatch, Unsupported
+from quarry.errors import NotFound, ParseError, StorageError, TypeMismatch, Unsupported
 from quarry.functions import runtime
 from quarry.sql.ast import Node
 from quarry.sql.lexer import statements
@@ -145,6 +146,7 @@ class Engine:
         self._transaction: Transaction | None = None
         self._marks: list[tuple[str, tuple, bool]] = []
         self._runtime = False
+        self._passing: list[str] = []  # views of one statement
         self._own: dict[str, Callable[..., Expr]] = {
             "changes": lambda: literal(self.changes),
             "total_changes": lambda: literal(self.total_changes),
@@ -162,6 +164,8 @@ class Engine:
     @property
     def store(self) -> Store:
         if self._store is None:
+            if self._local is not None and not re.match(r"local(\[|$)", self.spark.sparkContext.master):
+                raise StorageError("a private store needs spark.checkpoint.dir, a folder that all executors share")
             self._store = Store(self.spark, self._path)
         return self._store
 
@@ -188,14 +192,29 @@ class Engine:
         current = self._transaction or (self.store.snapshot() if self._store or not self._private else None)
         if table.lower() in ("sqlite_master", "sqlite_schema") and current is not None:
             df = current.master()
-            return Source(_view(df), [(f.name, kind_of(f.dataType)) for f in df.schema])
+            return Source(self._passing_view(df), [(f.name, kind_of(f.dataType)) for f in df.schema])
         if current is not None and current.has(table):
             df = current.read(table)
-            return Source(_view(df), [(c.name, c.kind) for c in current.table(table).columns], True)
+            return Source(self._passing_view(df), [(c.name, c.kind) for c in current.table(table).columns], True)
         if table.lower() in self._views:
             return self._views[table.lower()]
         raise NotFound(f"no such table: {table}")
 
+    def _passing_view(self, df: DataFrame) -> str:
+        self._passing.append(_view(df))
+        return self._passing[-1]
+
+    @contextmanager
+    def _statement(self) -> Iterator[None]:
+        """Drops the views that lowering a statement made: a DataFrame's plan holds what they stand for."""
+        begin = len(self._passing)
+        try:
+            yield
+        finally:
+            for view in self._passing[begin:]:
+                self.spark.catalog.dropTempView(view)
+            del self._passing[begin:]
+
     def table_names(self) -> list[str]:
         return (self._transaction or self.store.snapshot()).names()
 
@@ -231,9 +250,9 @@ class Engine:
             new = self.spark.read.schema(new.schema).parquet(path)
             every = self.spark.read.schema(new.schema).parquet(*[f"{folder}/{i}" for i in range(len(found) + 1)])
             if new.isEmpty():
-                return Source(_view(every), columns)
+                return Source(self._passing_view(every), columns)
             found.append(new)
-            more = self.spark.sql(self._ready(step(Source(_view(new), columns)))).toDF(*names)
+            more = self.spark.sql(self._ready(step(Source(self._passing_view(new), columns)))).toDF(*names)
             new = more.subtract(every)
 
     def _ready(self, sql: str) -> str:
@@ -248,10 +267,11 @@ class Engine:
         q = parse(sql)
         if q.kind == "pragma":
             return self._pragma(q)
+        with self._statement():
+            df = self.spark.sql(self._lowered(q, params))
         if q.kind == "explain":
-            plan = self.spark.sql(self._lowered(q, params))._jdf.queryExecution().toString()
-            return self.spark.createDataFrame([(line,) for line in plan.splitlines()], "detail string")
-        return self.spark.sql(self._lowered(q, params))
+            return self.spark.createDataFrame([(line,) for line in df._jdf.queryExecution().toString().splitlines()], "detail string")
+        return df
 
     def query(self, sql: str) -> Query:
         return Query(self, sql)
@@ -264,7 +284,8 @@ class Engine:
         """Raises what is wrong with a statement's syntax or names; runs nothing."""
         node = parse(sql)
         if node.kind == "query":
-            self.spark.sql(self._lowered(node, [None] * 99)).schema  # noqa: B018
+            with self._statement():
+                self.spark.sql(self._lowered(node, [None] * 99)).schema  # noqa: B018
         elif node.kind in ("insert", "update", "delete"):
             current = self._transaction or self.store.snapshot()
             table = current.table(node.table)
@@ -308,7 +329,8 @@ class Engine:
     def _write(self, t: Transaction, n: Node, sql: str, params) -> int:
         previous, self._transaction = self._transaction, t  # subqueries of a statement see the transaction's tables
         try:
-            changed, rowid = t.apply(n, sql, self._lowering(params))
+            with self._statement():
+                changed, rowid = t.apply(n, sql, self._lowering(params))
         finally:
             self._transaction = previous
         if n.kind in ("insert", "update", "delete"):

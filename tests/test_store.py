@@ -229,3 +229,14 @@ def test_many_values(engine):
     many = ", ".join(f"({i}, {'NULL' if i % 7 == 0 else repr(str(i))}, {i}.5)" for i in range(3000))
     assert engine.execute(f"INSERT INTO m VALUES {many}, (1 + 2, upper('x'), (SELECT max(1.25)))") == 3001
     assert rows(engine, "SELECT count(*), count(b), sum(a) FROM m") == [(3001, 3001 - 429, 3000 * 2999 // 2 + 3)]
+
+
+def test_statements_leave_no_views(engine, spark):
+    engine.register("n", spark.range(5))
+    engine.execute("CREATE TABLE v (a INTEGER); INSERT INTO v SELECT id FROM n; UPDATE v SET a = a + 1 WHERE a IN (SELECT max(a) FROM v)")
+    before = {t.name for t in spark.catalog.listTables()}
+    df = engine.sql("WITH RECURSIVE r(x) AS (SELECT 1 UNION SELECT a FROM r JOIN v ON a = x + 1) SELECT x FROM r JOIN v ON a = x")
+    engine.execute("DELETE FROM v WHERE a = (SELECT min(a) FROM v)")
+    engine.validate("SELECT a FROM v")
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert sorted(r.x for r in df.collect()) == [1, 2, 3]
