@@ -1,8 +1,10 @@
 """Main-text extraction from HTML: a linear-chain conditional random field over DOM leaf blocks.
 
 A small DOM reader (open-element stack, raw-text elements, character references, optional end tags) cuts a page into leaf
-blocks: runs of text that no block-level tag interrupts. Each block gets binary features from its ancestor tags, their
-class and id words, and its text (length, link share, end sign, ...). A two-label CRF (main text or not), trained by
+blocks: runs of text that no block-level tag interrupts. Tags are read as browsers read them (quotes count only where a
+value begins), and the sets of open tags and names are kept up as elements open and close, so time is linear in a page's
+length however deep it nests. Each block gets binary features from its ancestor tags, their class and id words, its text
+(length, link share, end sign, ...), and the share of the page's running text in the elements that hold it. A two-label CRF (main text or not), trained by
 gradient ascent on the log-likelihood of labelled pages, scores label sequences; Viterbi finds the best one. The blocks
 labelled main text are the result, in page order.
 
@@ -31,17 +33,22 @@ from pyspark.sql import functions as F
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li link main menu meta nav object ol optgroup option p pre section select"
-    " summary table tbody td template textarea tfoot th thead title tr ul video audio canvas".split()
+    " summary table tbody td template textarea tfoot th thead title tr ul video audio canvas xmp".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript iframe noembed noframes xmp svg math template".split())
+RAW_TAGS = frozenset("script style noscript iframe noembed noframes svg template".split())
+#: Elements whose content is text without tags.
+TEXT_TAGS = frozenset(("title", "textarea", "xmp"))
 #: A new tag of the key closes an open one of the value, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CONTAINERS = frozenset("article aside body div dl footer form header html main nav ol section table tbody ul".split())
 _P_CLOSERS = BLOCK_TAGS - {"button", "label", "option", "legend", "iframe", "object", "template", "link", "meta", "title", "head", "html", "body", "li"}
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z))", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Attributes: a name, and after "=" a value in quotes or one that ends at white space or ">". Atomic, so it never goes back.
+_ATTRIBUTES = r"""(?>(?:[\s/]+|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>)|\Z))?+)*+)"""
+_TAG = re.compile(rf"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/(?:>|[^a-zA-Z>][^>]*(?:>|\Z))|(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(>|\Z))", re.S)
+_NAMES = re.compile(r"""(?:^|[\s/"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_P, _NONE = frozenset(("p",)), frozenset()
 
 #: Words in class and id names that speak against or for main text.
 NOISE_NAMES = frozenset(
@@ -52,17 +59,74 @@ NOISE_NAMES = frozenset(
 MAIN_NAMES = frozenset("article articlebody body content entry main post story text".split())
 
 
-class Block:
-    __slots__ = ("link_chars", "names", "tags", "text")
+_TOLD = NOISE_NAMES | MAIN_NAMES
+
 
-    def __init__(self, text: str, tags: tuple[str, ...], names: frozenset[str], link_chars: int):
-        self.text, self.tags, self.names, self.link_chars = text, tags, names, link_chars
+class Block:
+    """A run of text, its innermost element, all its elements' tags and telling names, the characters in links, and the
+    numbers of the two innermost containers that hold it."""
+
+    __slots__ = ("holders", "link_chars", "names", "own", "tags", "text")
+
+    def __init__(self, text: str, own: str, tags: frozenset[str], names: frozenset[str], link_chars: int, holders: tuple[int, int]):
+        self.text, self.own, self.tags, self.names, self.link_chars, self.holders = text, own, tags, names, link_chars, holders
+
+
+class _Open:
+    """The open block elements. Every question costs the same at any depth."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.names: dict[str, int] = {}
+        self.containers: list[tuple[int, int]] = []
+        self.opened = 0
+        self._sets: tuple[frozenset[str], frozenset[str]] | None = None
+
+    def push(self, tag: str, names: frozenset[str]) -> None:
+        self.opened += 1
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in _CONTAINERS:
+            self.containers.append((len(self.stack), self.opened))
+        self.stack.append((tag, names))
+        for x in names:
+            self.names[x] = self.names.get(x, 0) + 1
+        self._sets = None
+
+    def close(self, tag: str) -> None:
+        if places := self.at.get(tag):
+            self._cut(places[-1])
+
+    def close_within(self, tags: frozenset[str] | set[str]) -> None:
+        """Closes the innermost open element of the tags, unless a container inside it is open."""
+        place = max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+        if place >= 0 and (not self.containers or place >= self.containers[-1][0]):
+            self._cut(place)
+
+    def _cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag, names = self.stack.pop()
+            self.at[tag].pop()
+            if tag in _CONTAINERS:
+                self.containers.pop()
+            for x in names:
+                self.names[x] -= 1
+        self._sets = None
+
+    def sets(self) -> tuple[frozenset[str], frozenset[str]]:
+        if self._sets is None:
+            self._sets = frozenset(t for t, places in self.at.items() if places), frozenset(x for x, n in self.names.items() if n)
+        return self._sets
+
+    def block(self, text: str, links: int) -> Block:
+        held = [number for _, number in self.containers[-2:]]
+        return Block(text, self.stack[-1][0] if self.stack else "-", *self.sets(), links, tuple([0, 0, *held][-2:]))
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The page's runs of text with their ancestor tags, the words of the ancestors' class and id, and the characters in links."""
+    """The page's runs of text with what is known of the elements around them."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    open_ = _Open()
     parts: list[str] = []
     links = at = 0
     in_link = 0
@@ -72,7 +136,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), links))
+                out.append(open_.block(text, links))
             parts.clear()
         links = 0
 
@@ -84,14 +148,6 @@ def leaf_blocks(page: str) -> list[Block]:
             if in_link:
                 links += len(text.strip())
 
-    def pop(tags: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return
-            if stack[i][0] in _CONTAINERS:
-                return
-
     n = len(page)
     while at < n:
         cut = page.find("<", at)
@@ -113,7 +169,7 @@ def leaf_blocks(page: str) -> list[Block]:
             break
         if tag in RAW_TAGS:
             if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
         block = tag in BLOCK_TAGS
@@ -123,31 +179,40 @@ def leaf_blocks(page: str) -> list[Block]:
             parts.append("\n")
         elif tag == "a":
             in_link = 0 if closing else 1
-        if tag in VOID_TAGS or (not block and tag != "a"):
+        if not block or tag in VOID_TAGS:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            open_.close(tag)
             continue
         if tag in _P_CLOSERS:
-            pop({"p"})
+            open_.close_within(_P)
         if tag in CLOSES:
-            pop(CLOSES[tag])
-        if block:
-            names = _NAMES.findall(m[3]) if m[3] else ()
-            stack.append((tag, frozenset(_WORD.findall(" ".join(a or b or c for a, b, c in names).lower())) if names else frozenset()))
+            open_.close_within(CLOSES[tag])
+        names = _NAMES.findall(m[3]) if m[3] else ()
+        open_.push(tag, frozenset(_WORD.findall(" ".join(a or b or c for a, b, c in names).lower())) & _TOLD if names else _NONE)
+        if tag in TEXT_TAGS:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            add(page[at : end.start() if end else n])
+            flush()
+            open_.close(tag)
+            at = end.end() if end else n
     flush()
     return out
 
 
 def block_features(blocks: list[Block]) -> list[list[str]]:
+    sizes = [b.text.count(" ") + 1 for b in blocks]
+    held: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    for b, words in zip(blocks, sizes, strict=True):
+        if words >= 5 and 2 * b.link_chars < len(b.text) and not b.names & NOISE_NAMES:
+            for level, number in zip(held, b.holders, strict=True):
+                level[number] = level.get(number, 0) + words
+    most = [max(level.values(), default=1) for level in held]
     out = []
     for i, b in enumerate(blocks):
-        words = b.text.count(" ") + 1
-        f = ["bias", f"own:{b.tags[-1] if b.tags else '-'}", f"words:{min(7, int(math.log2(words)))}", f"end:{b.text[-1] in '.!?…:;'}", f"links:{min(4, 4 * b.link_chars // max(1, len(b.text)))}"]
-        f += {f"in:{t}" for t in b.tags}
+        f = ["bias", f"own:{b.own}", f"words:{min(7, int(math.log2(sizes[i])))}", f"end:{b.text[-1] in '.!?…:;'}", f"links:{min(4, 4 * b.link_chars // max(1, len(b.text)))}"]
+        f += [f"holder{k}:{4 * level.get(number, 0) // m}" for k, (level, number, m) in enumerate(zip(held, b.holders, most, strict=True))]
+        f += [f"in:{t}" for t in b.tags]
         noise, main = b.names & NOISE_NAMES, b.names & MAIN_NAMES
         if noise:
             f.append("name:noise")
@@ -241,8 +306,9 @@ class LinearChainCrf:
         return self
 
 
-def labelled_pages(count: int = 260, seed: int = 11) -> list[tuple[list[list[str]], list[int]]]:
-    """Seeded page layouts; main-text blocks are marked while they are written, and the marks are read back as labels."""
+def labelled_pages(count: int = 420, seed: int = 11) -> list[tuple[list[list[str]], list[int]]]:
+    """Seeded page layouts, with and without telling tags and names; main-text blocks are marked while they are written, and
+    the marks are read back as labels."""
     r = random.Random(seed)
     mark = "†"  # stands in a main-text block while a page is built
     syllables = "an ber co da el fi gu ha in jo ka le mi no or pa qui re sa ti un ver wo xi ya zo".split()
@@ -256,13 +322,21 @@ def labelled_pages(count: int = 260, seed: int = 11) -> list[tuple[list[list[str
     def links(n: int) -> str:
         return "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(n))
 
-    def paragraphs(n: int, main: bool) -> str:
+    def linked() -> str:
+        return f"{sentence(6, 30)} <a href=/{r.randint(1, 99)}>{words(1, 4)}</a> {sentence(3, 30)}"
+
+    def paragraphs(n: int, main: bool, forms: tuple[str, ...] = ("<p>{}</p>", "<p><b>{}</b></p>", "<p>{}", "<p><b>{}<br>", "<p>{}</p>")) -> str:
         m = mark if main else ""
-        return "".join(r.choice(["<p>{}</p>", "<p><b>{}</b></p>", "<p>{}", "<p><b>{}<br>", "<p>{}</p>"]).format(m + sentence(*r.choice([(1, 3), (5, 30), (30, 120)]))) for _ in range(n))
+        return "".join(r.choice(forms).format(m + (linked() if r.random() < 0.15 else sentence(*r.choice([(1, 3), (5, 30), (30, 120)])))) for _ in range(n))
+
+    def anyname() -> str:
+        return r.choice(["", f' class="{words(1, 1)}"', f" id={words(1, 1)}", f' class="row col-{r.randint(1, 12)}"', f" data-x={r.choice(['it’s', 'a"b', 7])}"])
 
     noise = {
         "nav": lambda: f"<nav><ul>{links(r.randint(2, 8))}</ul></nav>",
         "menu": lambda: f'<div class="menu"><ul>{links(r.randint(2, 8))}</ul></div>',
+        "bar": lambda: f"<div{anyname()}>" + " | ".join(f'<a href="/{i}">{words(1, 2)}</a>' for i in range(r.randint(3, 9))) + "</div>",
+        "links": lambda: f"<ul{anyname()}>{links(r.randint(3, 10))}</ul>",
         "header": lambda: f"<header><h2>{words(1, 4)}</h2><p>{sentence()}</p></header>",
         "ad": lambda: f'<div class="{r.choice(["ad", "ads", "advert", "banner", "promo", "sponsored"])}">{r.choice(["{}", "<p>{}</p>"]).format(sentence())}</div>',
         "aside": lambda: f"<aside>{paragraphs(r.randint(1, 3), False)}</aside>",
@@ -277,23 +351,36 @@ def labelled_pages(count: int = 260, seed: int = 11) -> list[tuple[list[list[str
     closing = {
         "footer": lambda: f"<footer>&copy; {words(1, 2)}.example &middot; {sentence()}</footer>",
         "footer div": lambda: f'<div class="footer"><p>&copy; {words(1, 3)}</p></div>',
+        "line": lambda: f"<div{anyname()}>Copyright {r.randint(1990, 2030)} {words(1, 3)}</div>",
     }
-    shells = [("<article>", "</article>")] * 5 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="post">', "</div>"), ("<main><article>", "</article></main>"), ('<div class="article-body">', "</div>")]
+    told = [("<article>", "</article>")] * 5 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="post">', "</div>"), ("<main><article>", "</article></main>"), ('<div class="article-body">', "</div>")]
+    bare = [("<div{}><div{}>", "</div></div>"), ("<div{}>", "</div>"), ("<section{}>", "</section>"), ("<table><tr><td{}>", "</td></tr></table>"), ("", ""), ("<div{}><div{}><div{}>", "</div></div></div>"), ("<center{}>", "</center>")]
     pages = []
     for _ in range(count):
+        plain = r.random() < 0.4
         before = r.sample(sorted(noise), r.randint(0, 4))
         after = r.sample(sorted(noise), r.randint(0, 3))
         inside = r.sample(["ad", "comments", "aside", "form", "related", "cookie"], r.choice([0, 0, 1, 2]))
-        body = "".join(paragraphs(r.randint(0, 6), True) + noise[x]() for x in inside) + paragraphs(r.randint(1, 12), True)
+        forms = ("<p>{}</p>",) if r.random() < 0.5 else r.choice([("<p>{}</p>", "<p><b>{}</b></p>", "<p>{}", "<p><b>{}<br>", "<p>{}</p>"), ("<p{{}}>{}</p>".replace("{{}}", anyname()),), ("<div>{}</div>",)])
+        body = "".join(paragraphs(r.randint(0, 6), True, forms) + noise[x]() for x in inside) + paragraphs(r.randint(1 + 2 * plain, 12), True, forms)
         if r.random() < 0.3:
             body += "<ul>" + "".join(f"<li>{mark}{sentence()}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
         if r.random() < 0.2:
             body += f"<blockquote>{mark}{sentence()}</blockquote><h2>{mark}{words(1, 5)}</h2>" + paragraphs(2, True)
+        if r.random() < 0.15:
+            body += f"<table><caption>{mark}{words(2, 6)}</caption>" + "".join("<tr>" + "".join(f"<{t}>{mark}{r.choice([words(1, 3), str(r.randint(1, 9999))])}</{t}>" for _ in range(3)) + "</tr>" for t in ["th", *["td"] * r.randint(1, 5)]) + "</table>"
+            body += paragraphs(r.randint(1, 3), True, forms)
+        if r.random() < 0.15:
+            body += f'<figure><img src="x.png"><figcaption>{mark}{sentence(3, 15)}</figcaption></figure><pre>{mark}{words(3, 20)}</pre>' + paragraphs(r.randint(1, 3), True, forms)
+        if r.random() < 0.1:
+            body += f"<dl><dt>{mark}{words(1, 3)}<dd>{mark}{sentence()}</dl>" + paragraphs(1, True, forms)
         if r.random() < 0.3:
             body += noise["comments"]()
         title = words(2, 9)
         head = f"<h1>{mark}{title}</h1>" if r.random() < 0.9 else ""
-        a, z = r.choice(shells)
+        a, z = r.choice(bare) if plain else r.choice(told)
+        while "{}" in a:
+            a = a.replace("{}", anyname(), 1)
         page = f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>"
         page += "".join(noise[x]() for x in before) + a + head + body + z + "".join(noise[x]() for x in after)
         page += closing[r.choice(sorted(closing))]() if r.random() < 0.9 else ""
