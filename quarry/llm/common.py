@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,29 +20,63 @@ GROUP = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and tasks run in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return base.rstrip("/") if base else f"file://{tempfile.gettempdir()}/quarry-shared"
 
 
+#: Folders and tables that operators have written.
+_WRITTEN: list[tuple[str, str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A folder for one written step. Whatever is left of it goes when the application ends."""
     path = f"{shared_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    _WRITTEN.append(("folder", path))
     return path
 
 
 def unstage(*steps: DataFrame) -> None:
     """Deletes written steps that nothing will read again."""
     for df in steps:
-        spark, path = df.sparkSession, df._quarry_path
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = _file_system(df.sparkSession, df._quarry_path)
+        fs.delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes on leaving what operators wrote inside, but for the written steps handed to the function it gives.
+
+    An operator's result reads its last steps, so inside it must be written (stage) and handed over.
+    """
+    begin, kept = len(_WRITTEN), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._quarry_path)
+        return df
+
+    yield keep
+    for kind, what in _WRITTEN[begin:]:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {what}")
+        elif what not in kept:
+            fs, at = _file_system(spark, what)
+            fs.delete(at, True)
+    del _WRITTEN[begin:]
 
 
 def drop_at_end(spark: SparkSession, name: str) -> None:
     """Drops a table from the catalog when the program ends, if the session still lives then."""
+    _WRITTEN.append(("table", name))
 
     def drop() -> None:
         context = spark.sparkContext

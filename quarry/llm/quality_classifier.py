@@ -110,6 +110,7 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # TRAIN_ROWS rows at most
     kind = texts.schema["doc_id"].dataType.simpleString()
     coded = texts.select("doc_id", "quality", "text").mapInArrow(_features, f"doc_id {kind}, quality int, slots binary, shares binary")
+    coded = coded.orderBy(F.xxhash64("doc_id"), F.xxhash64("slots"), F.xxhash64("shares")).limit(TRAIN_ROWS)  # ids may repeat
     found = coded.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(_learn, "weights binary").collect()
     return np.frombuffer(found[0]["weights"], "<f4") if found else np.zeros((1 << BITS) + 1, np.float32)
 
