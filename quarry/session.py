@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 import re
 import tempfile
 import types
@@ -112,7 +113,7 @@ def coerce(value: Any, kind: Any) -> Any:
         return coerce(value, next(p for p in parts if p is not type(None)))
     if value is None:
         raise TypeMismatch(f"NULL for {getattr(kind, '__name__', kind)}")
-    if kind is Any or isinstance(value, kind) and not (kind is int and isinstance(value, bool)):
+    if kind is Any or isinstance(value, typing.get_origin(kind) or kind) and not (kind is int and isinstance(value, bool)):
         return value
     if kind is bool and isinstance(value, (int, float)):
         return bool(value)
@@ -120,6 +121,13 @@ def coerce(value: Any, kind: Any) -> Any:
         return kind(value)
     if kind is bytes and isinstance(value, bytearray):
         return bytes(value)
+    if (typing.get_origin(kind) or kind) in (dict, list) and isinstance(value, str):  # JSON is text in a table
+        try:
+            found = json.loads(value)
+        except ValueError:
+            found = None
+        if isinstance(found, typing.get_origin(kind) or kind):
+            return found
     if kind is str and isinstance(value, (int, float)):
         return str(value)
     raise TypeMismatch(f"{type(value).__name__} for {getattr(kind, '__name__', kind)}")
@@ -297,8 +305,6 @@ class Engine:
         return df.columns, [tuple(r) for r in df.collect()]
 
     def query_json(self, sql: str, params: Sequence | dict | None = None) -> list[dict]:
-        import json
-
         df = self.sql(sql, params)
         packed = df.select(F.to_json(F.struct(*[F.col(name(c)) for c in df.columns]), {"ignoreNullFields": "false"}).alias("j"))
         return [json.loads(r["j"]) for r in packed.collect()]

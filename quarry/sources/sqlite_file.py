@@ -12,13 +12,17 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 from quarry.errors import NotFound, TypeMismatch
 from quarry.values import SPARK_TYPE, affinity, kind_of
 
+#: Rows of an Arrow batch.
+BATCH = 8_192
 _DECLARED = {"int": "INTEGER", "real": "REAL", "text": "TEXT", "blob": "BLOB", "bool": "BOOLEAN", "time": "TEXT", "other": "TEXT"}
 
 
@@ -66,12 +70,17 @@ class SqliteFile(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.table, self.fields = options["path"], options["table"], [(f.name, kind_of(f.dataType)) for f in schema]
+        self.types = [to_arrow_type(f.dataType) for f in schema]
         self.count = int(options.get("numpartitions") or options.get("numPartitions") or 8)
 
     def partitions(self) -> list[_Range]:
         db = _open(self.path)
         try:
-            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
+            low, high, rows = db.execute(f"SELECT min(rowid), max(rowid), count(*) FROM {quoted(self.table)}").fetchone()
+            if rows and high - low + 1 > 2 * rows:  # rowids with gaps: ranges of equal rows, not of equal width
+                at = f"SELECT rowid FROM {quoted(self.table)} ORDER BY rowid LIMIT 1 OFFSET ?"
+                starts = sorted({db.execute(at, (k * rows // self.count,)).fetchone()[0] for k in range(self.count)})
+                return [_Range(a, b) for a, b in zip(starts, [*starts[1:], high + 1], strict=True)]
         except sqlite3.OperationalError:  # WITHOUT ROWID
             return [_Range(None, None)]
         finally:
@@ -81,13 +90,15 @@ class _Reader(DataSourceReader):
         width = -(-(high - low + 1) // self.count)
         return [_Range(a, min(a + width, high + 1)) for a in range(low, high + 1, width)]
 
-    def read(self, part: _Range) -> Iterator[tuple]:
+    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         db = _open(self.path)
         try:
             where = "" if part.low is None else f" WHERE rowid >= {part.low} AND rowid < {part.high}"
             names = ", ".join(quoted(n) for n, _ in self.fields)
-            for row in db.execute(f"SELECT {names} FROM {quoted(self.table)}{where}"):
-                yield tuple(_value(v, kind, n) for v, (n, kind) in zip(row, self.fields, strict=True))
+            cursor = db.execute(f"SELECT {names} FROM {quoted(self.table)}{where}")
+            while rows := cursor.fetchmany(BATCH):
+                columns = ([_value(v, kind, n) for v in values] for values, (n, kind) in zip(zip(*rows, strict=True), self.fields, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, self.types, strict=True)], names=[n for n, _ in self.fields])
         finally:
             db.close()
 

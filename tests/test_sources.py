@@ -118,3 +118,22 @@ def test_operators(spark):
     spans = spark.createDataFrame([(0.0, 10.0), (9.5, 30.0), (49.0, 49.0)], "lo double, hi double")
     assert sorted(map(tuple, R.range_join(points, spans, "v", "lo", "hi", 4.0).collect())) == sorted((v.v, s.lo, s.hi) for v in points.collect() for s in spans.collect() if s.lo <= v.v < s.hi)
     assert R.salted_join(df, df.select("k", F.col("s").alias("t")), "k", 3).count() == 3
+
+
+def test_sqlite_file_with_gaps_between_rowids(engine, tmp_path):
+    """Ranges of rowids hold about as many rows each, however far apart the rowids are."""
+    import sqlite3
+
+    from quarry.sources.sqlite_file import _Reader, attach
+
+    path = str(tmp_path / "gaps.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE g (k INTEGER PRIMARY KEY, v TEXT, b BLOB)")
+        db.executemany("INSERT INTO g VALUES (?, ?, ?)", [(i if i < 900 else 10**12 + i * 10**6, None if i % 5 == 0 else f"v{i}", bytes([i % 256])) for i in range(1000)])
+    assert attach(engine, path, partitions=4) == ["g"]
+    df = engine.sql("SELECT k, v, b FROM g")
+    assert df.rdd.getNumPartitions() == 4
+    reader = _Reader({"path": path, "table": "g", "numPartitions": "4"}, df.schema)
+    assert [sum(b.num_rows for b in reader.read(p)) for p in reader.partitions()] == [250] * 4
+    assert df.count() == 1000 and {r.k for r in df.collect()} == {i if i < 900 else 10**12 + i * 10**6 for i in range(1000)}
+    assert df.where("v IS NULL").count() == 200 and bytes(df.where("k = 7").first().b) == bytes([7])

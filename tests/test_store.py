@@ -240,3 +240,10 @@ def test_statements_leave_no_views(engine, spark):
     engine.validate("SELECT a FROM v")
     assert {t.name for t in spark.catalog.listTables()} == before
     assert sorted(r.x for r in df.collect()) == [1, 2, 3]
+
+
+def test_json_targets(engine):
+    assert engine.query("""SELECT '{"a": [1, 2]}', '[1, null]'""").fetch_one(tuple[dict, list[int]]) == ({"a": [1, 2]}, [1, None])
+    for text in ("[1]", "{", "x"):
+        with pytest.raises(TypeMismatch):
+            engine.query("SELECT ?").bind(text).fetch_one(dict)
