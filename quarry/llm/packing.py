@@ -10,6 +10,8 @@ Pieces then find their places: the r-th piece of a length goes to the r-th slot
 from range partitions and run offsets, so a length that a third of all pieces has isn't one task's work; slots are
 intervals of ranks.
 
+An added token of the vocabulary that stands in a text is one id, as the tokenizers library has it.
+
 Defined cases: null and empty texts are one piece of the end id alone; a text whose ids exceed a sequence is cut into
 pieces of the full size, the first of which may be shorter; repeated rows are packed each; an empty table gives an empty
 result; a null id is carried along.
@@ -141,10 +143,10 @@ def slots(shapes: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int,
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, path: str | None = None, in_order: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, path: str | None = None, in_order: bool = False, digest: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian uint32), sequence_id, offset.
 
-    With in_order, sequences follow the rows of docs: those of equal length are taken in their order, and sequences are
+    With digest, ids_crc32 stands in place of the ids, which then leave no task. With in_order, sequences follow the rows of docs: those of equal length are taken in their order, and sequences are
     numbered by the mean position of the ids they hold.
     """
     spark = docs.sparkSession
@@ -153,6 +155,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *place)
     kind = narrow.schema["doc_id"].dataType.simpleString()
     cut = narrow.mapInArrow(_pieces(path or vocabulary_path(), size), f"doc_id {kind}, _file string, _block bigint, _row bigint, piece int, start bigint, length bigint, ids binary")
+    held = "ids_crc32" if digest else "ids"
+    if digest:
+        cut = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     pieces = stage((cut if in_order else cut.drop("_file", "_block", "_row")).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     shapes = plan(counts, size)
@@ -163,7 +168,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         places = spark.createDataFrame(slots(shapes), _SLOTS)
         placed = _placed(global_rank(pieces.select("uid", "length"), "length", F.xxhash64("uid"), "lengths"), places)
     out = pieces.join(placed, "uid")
-    return out.select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", held, "sequence_id", "offset")
 
 
 def _file_place(docs: DataFrame) -> list[Column]:
@@ -229,5 +234,4 @@ def _placed(ranked: DataFrame, places: DataFrame) -> DataFrame:
 
 def packed_digests(docs: DataFrame, in_order: bool = False) -> DataFrame:
     """pack() with the checksum of each piece's ids in place of the ids."""
-    p = pack(docs, in_order=in_order)
-    return p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return pack(docs, in_order=in_order, digest=True)

@@ -49,7 +49,10 @@ class _Chunks(dict):
 
 
 class ByteBpe:
-    """encode(text) -> uint32 ids, equal to those of the tokenizers library without special tokens.
+    """encode(text) -> uint32 ids, equal to those of the tokenizers library with add_special_tokens=False.
+
+    The vocabulary's added tokens that stand in a text are one id each, as in that library, unless `added` is False, which
+    encodes their characters like any others (the library's encode_special_tokens).
 
     A text is cut where one space stands between two characters that aren't white space. The vocabulary's splitting never
     joins text across such a place except to put the space before the next word, so a chunk's ids don't depend on what
@@ -63,7 +66,9 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         to_byte = _byte_of_symbol()
-        special = {t["id"] for t in spec.get("added_tokens", [])}
+        self._added = {t["content"]: np.uint32(t["id"]).tobytes() for t in spec.get("added_tokens", [])}
+        self._names = {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+        special = set(self._names)
         ranks = {bytes(to_byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if i not in special}
         #: Ids from here on are free.
         self.size = max([*ranks.values(), *special]) + 1
@@ -72,14 +77,17 @@ class ByteBpe:
         #: Spaces beside other white space: such a text is cut with more care.
         self._beside = re.compile(r"\s \S|\S \s| \Z|\A ")
         self._places = re.compile(r"(?<=\S)(?= \S)")
+        self._at_added = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text), "<u4")
+    def encode(self, text: str, added: bool = True) -> np.ndarray:
+        return np.frombuffer(self.encode_bytes(text, added), "<u4")
 
-    def encode_bytes(self, text: str) -> bytes:
+    def encode_bytes(self, text: str, added: bool = True) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
+        if added and any(name in text for name in self._added):
+            return b"".join(self._added.get(part) or self.encode_bytes(part, False) for part in self._at_added.split(text))
         if "\0" in text or self._beside.search(text):
             parts = self._places.split(text)
         else:
@@ -87,7 +95,10 @@ class ByteBpe:
         return b"".join(map(self._chunks.__getitem__, parts))
 
     def decode(self, ids) -> str:
-        return self._core.decode_bytes([int(i) for i in ids]).decode("utf-8", errors="surrogatepass")
+        ids = [int(i) for i in ids]
+        if not self._names.keys() & set(ids):
+            return self._core.decode_bytes(ids).decode("utf-8", errors="surrogatepass")
+        return b"".join(self._names.get(i) or self._core.decode_bytes([i]) for i in ids).decode("utf-8", errors="surrogatepass")
 
 
 @lru_cache(maxsize=4)
