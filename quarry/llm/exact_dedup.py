@@ -8,8 +8,9 @@
    (suspects) are grouped by their whole normalised text, so equality is decided on bytes, never on a fingerprint.
 
 A hot text moves once per task (partial aggregation), owners see it once per part, and texts of unique rows never move.
+The rows of a large group meet its size and keeper in as many tasks as bound the rows of one by GROUP.
 
-Defined cases: a null text counts as empty; empty texts are equal to each other; a null id sorts last among equals;
+Defined cases: ids are of any type that can be ordered; a null text counts as empty; empty texts are equal to each other; a null id sorts last among equals;
 repeated rows (same id and text) are copies of each other of which one is kept; an empty table gives an empty result;
 other columns pass through whatever their names.
 """
@@ -27,50 +28,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import new_path, shuffle_partitions, stage
+from quarry.llm.common import GROUP, drop_at_end, new_path, salted, salts, shuffle_partitions, stage, with_salts
 
 #: The characters deleted before texts are compared.
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 #: Bits of a fingerprint: parts of 10^4 rows cost about 29 bits a row; collisions only add suspects.
 BITS = 40
+#: Bytes of input whose fingerprints one owner holds (some millions, 8 bytes each).
+OWNED = 16 << 30
 
 
 def golomb_encode(values: np.ndarray, bits: int) -> bytes:
-    """Sorted distinct uint64 values below 2**bits as Golomb-Rice-coded gaps; a header holds their count and the parameter."""
+    """Sorted distinct uint64 values below 2**bits as Golomb-Rice-coded gaps.
+
+    A header holds their count, the parameter and the bytes of the unary parts (zeros and a one for each gap), which come
+    before the low bits of all gaps, so both are read without a loop.
+    """
     n = len(values)
     if n == 0:
         return b""
     gaps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
     k = max(0, int(np.floor(np.log2(max(1.0, (1 << bits) / n * np.log(2))))))
     high, low = (gaps >> np.uint64(k)).astype(np.int64), gaps & np.uint64((1 << k) - 1)
-    ends = np.cumsum(high + 1 + k)
-    out = np.zeros(int(ends[-1]), np.uint8)
-    stops = ends - 1 - k  # each gap: `high` zeros, a one, then k low bits
-    out[stops] = 1
-    for j in range(k):
-        out[stops + 1 + j] = ((low >> np.uint64(k - 1 - j)) & np.uint64(1)).astype(np.uint8)
-    return n.to_bytes(4, "little") + bytes([k]) + np.packbits(out).tobytes()
+    stops = np.cumsum(high + 1) - 1
+    unary = np.zeros(int(stops[-1]) + 1, np.uint8)
+    unary[stops] = 1
+    unary = np.packbits(unary).tobytes()
+    shifts = np.arange(k - 1, -1, -1, dtype=np.uint64)
+    lows = np.packbits(((low[:, None] >> shifts) & np.uint64(1)).astype(np.uint8)).tobytes()
+    return n.to_bytes(4, "little") + bytes([k]) + len(unary).to_bytes(4, "little") + unary + lows
 
 
 def golomb_decode(code: bytes) -> np.ndarray:
     if not code:
         return np.zeros(0, np.uint64)
-    n, k = int.from_bytes(code[:4], "little"), code[4]
-    bits = np.unpackbits(np.frombuffer(code, np.uint8, offset=5))
-    ones, out, at = np.flatnonzero(bits), np.empty(n, np.uint64), 0
-    weights = np.left_shift(np.uint64(1), np.arange(k - 1, -1, -1, dtype=np.uint64)) if k else np.zeros(0, np.uint64)
-    i, starts = 0, np.empty(n, np.int64)
-    for j in range(n):  # the unary part ends at the first one at or after `at`
-        i = i + int(np.searchsorted(ones[i : i + k + 1], at)) if i < len(ones) else i
-        starts[j] = ones[i]
-        out[j] = ones[i] - at
-        at = int(ones[i]) + 1 + k
-    out <<= np.uint64(k)
+    n, k, size = int.from_bytes(code[:4], "little"), code[4], int.from_bytes(code[5:9], "little")
+    stops = np.flatnonzero(np.unpackbits(np.frombuffer(code, np.uint8, size, 9)))
+    gaps = (np.diff(stops, prepend=-1) - 1).astype(np.uint64) << np.uint64(k)
     if k:
-        low = bits[starts[:, None] + 1 + np.arange(k)].astype(np.uint64)
-        out |= (low * weights).sum(axis=1, dtype=np.uint64)
-    return np.cumsum(out, dtype=np.uint64)
+        low = np.unpackbits(np.frombuffer(code, np.uint8, offset=9 + size))[: n * k].reshape(n, k).astype(np.uint64)
+        gaps |= (low << np.arange(k - 1, -1, -1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+def owners_of(docs: DataFrame) -> int:
+    """Owners: as many as there are shuffle partitions, and one for OWNED bytes of input at least."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # rows that don't come from files have no size
+    return max(shuffle_partitions(docs.sparkSession), -(-known // OWNED))
 
 
 def _fingerprinted(owners: int):
@@ -124,7 +130,7 @@ class _Marked:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, rest: bool):
         spark = docs.sparkSession
-        owners = shuffle_partitions(spark)
+        owners = owners_of(docs)
         others = [c for c in docs.columns if c not in (id_col, text_col)] if rest else []
         raw = docs.select(
             F.col(f"`{id_col}`").alias("_id"),
@@ -135,7 +141,8 @@ class _Marked:
         added = "_part bigint, _uid bigint, _sha binary, _owner int, _pos int, _twice boolean, _codes array<struct<owner:int,code:binary>>"
         full = StructType([*raw.schema.fields, *StructType.fromDDL(added).fields])
         path, name = new_path(spark, "prints"), f"quarry_prints_{new_path(spark, 'x')[-32:]}"
-        raw.mapInArrow(_fingerprinted(owners), full).write.option("compression", "zstd").option("path", path).bucketBy(owners, "_part").saveAsTable(name)
+        raw.mapInArrow(_fingerprinted(owners), full).write.option("compression", "zstd").option("path", path).bucketBy(shuffle_partitions(spark), "_part").saveAsTable(name)
+        drop_at_end(spark, name)
         self.rows = spark.table(name)
         codes = self.rows.where(F.col("_codes").isNotNull()).select("_part", F.inline("_codes"))
         bitmaps = codes.groupBy("owner").applyInPandas(_owner_bitmaps, "_part bigint, _owner int, bitmap binary")
@@ -151,11 +158,11 @@ class _Marked:
         return held.join(self.bitmaps.hint("shuffle_hash"), "_part", "left").select(*cols, (F.col("_twice") | hit).alias("_suspect"))
 
     def groups(self) -> DataFrame:
-        """Suspects by their whole normalised text: _sha, size, keep (the row that stays)."""
+        """Suspects by their whole normalised text: _sha, _size, _keep_id and _keep_uid (of the row that stays), written."""
         suspects = self.rows_marked("_id", "_uid", "_sha", "_n", "_text").where("_suspect")
-        best = F.max(F.struct(F.col("_n"), F.col("_id").isNotNull(), F.bitwise_not("_id").alias("i"), F.bitwise_not("_uid").alias("u")))
+        best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("no"), F.col("_id").alias("i"), F.col("_uid").alias("u")))
         by_text = suspects.groupBy("_sha", F.regexp_replace("_text", SPACE_PATTERN, "").alias("_norm")).agg(F.count("*").alias("_size"), best.alias("_best"))
-        return by_text.select("_sha", "_size", F.bitwise_not("_best.i").alias("_keep_id"), F.bitwise_not("_best.u").alias("_keep_uid"))
+        return stage(by_text.select("_sha", "_size", F.col("_best.i").alias("_keep_id"), F.col("_best.u").alias("_keep_uid")), "groups")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,9 +171,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = marked.rows_marked("_id", "_uid", "_sha")
     sha = F.lower(F.hex("_sha")).alias("text_sha256")
     alone = rows.where(~F.col("_suspect")).select(F.col("_id").alias("doc_id"), F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), sha)
+    groups = marked.groups()
+    heavy = groups.where(F.col("_size") > GROUP).select("_sha", F.ceil(F.col("_size") / GROUP).cast("int").alias("salts"))
     copies = (
-        rows.where("_suspect")
-        .join(marked.groups(), "_sha")
+        with_salts(rows.where("_suspect"), "_sha", heavy)
+        .withColumn("_salt", salted("_uid"))
+        .join(with_salts(groups, "_sha", heavy).withColumn("_salt", salts()), ["_sha", "_salt"])
         .select(F.col("_id").alias("doc_id"), F.col("_keep_id").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_uid") == F.col("_keep_uid")).alias("kept"), sha)
     )
     return alone.unionByName(copies)
