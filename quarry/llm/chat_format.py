@@ -4,12 +4,13 @@ A turn becomes START role SEP text END. Role and text are encoded on their own,
 three reserved ids, which no text can produce, are spliced between them. Their written forms (MARKS) are control strings;
 where one occurs in a role or text it is escaped with a backslash, as is the backslash itself, so the written conversation
 can be parsed back without loss. The loss mask is the prefix sum of +1 where an assistant's text begins and -1 where it
-ends. Turns are encoded where they lie; a conversation is its turns in order, and reading it back streams over sorted
-turns with a running digest, so a conversation of any length needs the memory of one turn.
+ends. Turns are encoded, and read back from their ids and masks, where they lie, so a conversation of any length is
+encoded by many tasks. Its digests run over its turns in order: they alone are one task's stream, with a running hash in
+the memory of one batch of turns, and only what was read back is shuffled.
 
 Defined cases: a null text or role is empty; turns are ordered by turn (nulls first), then role, then text, and equal
-rows are turns of their own; a null conv_id is one conversation; an empty table gives an empty result; texts of any length
-are encoded whole; other columns are ignored.
+rows are turns of their own; conv_id is of any type that can be ordered, and a null one is one conversation; an empty table
+gives an empty result; texts of any length are encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.llm.tokens import byte_bpe, vocabulary_path
 
@@ -50,7 +51,7 @@ class Formatter:
 
     def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and loss mask of a turn."""
-        head, body = self.bpe.encode(escape(role, role=True)), self.bpe.encode(escape(text))
+        head, body = self.bpe.encode(escape(role, role=True), added=False), self.bpe.encode(escape(text), added=False)
         ids = np.concatenate([[self.start], head, [self.sep], body, [self.end]]).astype("<u4")
         change = np.zeros(len(ids) + 1, np.int8)
         if role == LOSS_ROLE:
@@ -103,42 +104,70 @@ def format_turns(conversations: DataFrame, path: str | None = None) -> DataFrame
     return c.mapInArrow(_format(path or vocabulary_path()), f"{kept}, ids binary, loss_mask binary")
 
 
-def _digest(path: str):
+def _read(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Formatter(path)
+        for batch in batches:
+            rows = []
+            for ids, mask in zip(batch.column("ids").to_pylist(), batch.column("loss_mask").to_pylist(), strict=True):
+                ids, mask = np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.uint8)
+                ((role, text),) = f.read(ids)
+                loss = f.under_mask(ids, mask)
+                if loss not in ("", text):
+                    raise ValueError("a loss mask that ends inside a text")
+                rows.append((role, text, loss != "", len(f.written(ids))))
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), *columns], names=["conv_id", "turn", "role", "text", "in_loss", "chars"])
+
+    return run
+
+
+def read_turns(turns: DataFrame, path: str | None = None) -> DataFrame:
+    """conv_id, turn, role, text, in_loss and chars (of the written form) of every turn, read from its ids and mask."""
+    t = turns.select("conv_id", "turn", "ids", "loss_mask")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema.fields[:2])
+    return t.mapInArrow(_read(path or vocabulary_path()), f"{kept}, role string, text string, in_loss boolean, chars bigint")
+
+
+def _digest(kind: pa.DataType):
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, current, state, done = Formatter(path), object(), None, []
+        current, state, done = object(), None, []
 
         def close() -> None:
             if state is not None:
                 done.append((current, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
-            for conv, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "ids", "loss_mask")), strict=True):
+            for conv, role, text, in_loss, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "in_loss", "chars")), strict=True):
                 if state is None or conv != current:
                     close()
                     current, state = conv, [0, sha256(), 0, sha256(), 0]
-                ids, mask = np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.uint8)
-                for role, text in f.read(ids):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                loss = f.under_mask(ids, mask)
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-                state[4] += len(f.written(ids))
+                state[0] += 1
+                state[1].update(f"{role}\n{text}\n".encode())
+                if in_loss:
+                    state[2] += len(text)
+                    state[3].update(text.encode())
+                state[4] += chars
             if len(done) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+                yield out()
                 done = []
         close()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+            yield out()
 
     return run
 
 
 def read_back(turns: DataFrame, path: str | None = None) -> DataFrame:
     """Digests of each conversation, read from the ids and masks of its turns."""
-    laid = turns.withColumn("conv_id", F.col("conv_id").cast("bigint")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return laid.select("conv_id", "ids", "loss_mask").mapInArrow(_digest(path or vocabulary_path()), schema)
+    laid = read_turns(turns, path).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    kind = turns.schema["conv_id"].dataType
+    schema = f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    return laid.drop("turn").mapInArrow(_digest(to_arrow_type(kind)), schema)
