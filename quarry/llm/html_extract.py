@@ -223,10 +223,6 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
             f.append("text:copyright")
         if sum(c.isdigit() for c in b.text) * 3 > len(b.text):
             f.append("text:digits")
-        if i == 0:
-            f.append("first")
-        if i == len(blocks) - 1:
-            f.append("last")
         out.append(f)
     return out
 
