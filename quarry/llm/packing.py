@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +46,20 @@ def piece_bounds(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, head), *((s, size) for s in range(head, n, size))]
 
 
-def _pieces(path: str, size: int):
+def _pieces(path: str, size: int, digest: bool):
+    last, kind = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = byte_bpe(path), np.uint32(END).tobytes()
-        names = ["doc_id", "_file", "_block", "_row", "piece", "start", "length", "ids"]
+        names = ["doc_id", "_file", "_block", "_row", "piece", "start", "length", last]
         for batch in batches:
             rows, docs = [], batch.column("doc_id")
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = bpe.encode_bytes(text or "") + end
-                rows += [(i, k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(piece_bounds(len(ids) // 4, size))]
+                held = ((k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(piece_bounds(len(ids) // 4, size)))
+                rows += [(i, k, s, n, crc32(part) if digest else part) for k, s, n, part in held]
             at, *rest = zip(*rows, strict=True) if rows else ([],) * 5
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), kind)
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int32())) for c in (docs, *map(batch.column, names[1:4]))), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=names)
 
     return run
@@ -154,10 +158,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     place = [c.cast(k).alias(n) for c, k, n in zip(place, ("string", "bigint", "bigint"), ("_file", "_block", "_row"), strict=True)]
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *place)
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    cut = narrow.mapInArrow(_pieces(path or vocabulary_path(), size), f"doc_id {kind}, _file string, _block bigint, _row bigint, piece int, start bigint, length bigint, ids binary")
-    held = "ids_crc32" if digest else "ids"
-    if digest:
-        cut = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    held, held_kind = ("ids_crc32", "bigint") if digest else ("ids", "binary")
+    cut = narrow.mapInArrow(_pieces(path or vocabulary_path(), size, digest), f"doc_id {kind}, _file string, _block bigint, _row bigint, piece int, start bigint, length bigint, {held} {held_kind}")
     pieces = stage((cut if in_order else cut.drop("_file", "_block", "_row")).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     shapes = plan(counts, size)
