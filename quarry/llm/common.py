@@ -6,6 +6,7 @@ import atexit
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/") if base else f"file://{tempfile.gettempdir()}/quarry-shared"
 
 
+_collected = 0.0
+
 #: Folders and tables that operators have written.
 _WRITTEN: list[tuple[str, str]] = []
 
@@ -92,8 +95,11 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     # Spark deletes the shuffle files of plans nothing refers to any more when the driver collects garbage, which it may
     # not do for hours; a job of many stages would keep them all.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    global _collected
+    if time.monotonic() - _collected > 1:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out
