@@ -170,6 +170,7 @@ class _Block:
         self.values = np.ascontiguousarray(rows.column("grid").combine_chunks().flatten().to_numpy().reshape(m, K).T)
         self.prefix = ((rows.column("mask").to_numpy()[None, :] >> np.arange(K)[:, None]) & 1).astype(bool)
         self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(m, BINS)
+        self.full = np.packbits(self.sketch > 0, axis=1).view(np.uint64)
         self.coordinate, self.i, self.j = (token >> 32) & _COORDINATE, i, j
         #: Two members of the band below have met there.
         self.below = np.floor(np.log(self.n) / np.log(BAND)) < token >> _BAND_BIT
@@ -205,9 +206,9 @@ class _Block:
         filled, equal = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
         for at in range(0, len(x), self.PAIRS):
             part = slice(at, at + self.PAIRS)
-            one, two = self.sketch[x[part]], self.sketch[y[part]]
-            filled[part] = ((one | two) > 0).sum(axis=1)
-            equal[part] = ((one == two) & (one > 0)).sum(axis=1)
+            filled[part] = np.bitwise_count(self.full[x[part]] | self.full[y[part]]).sum(axis=1)
+            same = np.packbits(self.sketch[x[part]] == self.sketch[y[part]], axis=1).view(np.uint64)
+            equal[part] = np.bitwise_count(same).sum(axis=1) - (BINS - filled[part])  # bins that are empty in both are equal too
         s = PERCENT / 100
         union = (self.n[x] + self.n[y]) / (1 + s)
         deviation = np.sqrt(s * (1 - s) / filled * np.maximum(1 - filled / union, 0.02))
